@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Character sets and patterns that define the feature semantics.
 SPACE = r"\s\x1c-\x1f"
@@ -36,7 +36,7 @@ UPPER_AFTER_LETTER = r"[\p{Lu}\p{Ll}]\p{Lu}"
 LOWER_AFTER_OTHER = r"(^|[^\p{Lu}\p{Ll}])\p{Ll}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape_nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(
         lambda t: None if t is None else unicodedata.normalize("NFKC", html.unescape(t))

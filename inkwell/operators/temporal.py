@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from inkwell.functions.dates import month_of
 from inkwell.operators.profile import pivot_counts, top_k_per_group, value_share
@@ -157,7 +157,7 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str], out: str) -> Data
     return df.withColumn(out, low + (ties - 1) / 2.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(rho: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a rank correlation from the t distribution."""
     return pd.Series([_correlation_p(r, k) for r, k in zip(rho, n)])
