@@ -29,9 +29,12 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.nullif(F.concat(quoted, single), F.lit(""))
 
 
-def meta_content(html: Column, key: str) -> Column:
+def meta_tags(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1)
+
+
+def meta_content(tags: Column, key: str) -> Column:
     """``content`` of the first meta tag whose ``name`` or else ``property`` is ``key``."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1)
     by_name = F.filter(tags, lambda t: _attribute(t, "name") == key)
     by_property = F.filter(tags, lambda t: _attribute(t, "property") == key)
     found = F.coalesce(F.get(by_name, F.lit(0)), F.get(by_property, F.lit(0)))
@@ -40,22 +43,22 @@ def meta_content(html: Column, key: str) -> Column:
 
 def page_fields(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """Head and heading fields of every stored page, on built-in expressions."""
-    html, url = F.col(html_col), F.col(url_col)
+    html, url, metas = F.col(html_col), F.col(url_col), F.col("_metas")
     time_tag = F.regexp_extract(html, r"(?is)(<time\b[^>]*>)", 1)
-    return pages.withColumns(
+    return pages.withColumn("_metas", meta_tags(html)).withColumns(
         {
             "title": _inner(html, "title"),
             "h1": _inner(html, "h1"),
             "h2": _inner(html, "h2"),
             "page_lang": _attribute(F.regexp_extract(html, r"(?is)(<html\b[^>]*>)", 1), "lang"),
-            "description": meta_content(html, "description"),
-            "og_title": meta_content(html, "og:title"),
-            "og_description": meta_content(html, "og:description"),
-            "published_time": meta_content(html, "article:published_time"),
-            "section": F.coalesce(meta_content(html, "prism.section"), section_from_url(url)),
+            "description": meta_content(metas, "description"),
+            "og_title": meta_content(metas, "og:title"),
+            "og_description": meta_content(metas, "og:description"),
+            "published_time": meta_content(metas, "article:published_time"),
+            "section": F.coalesce(meta_content(metas, "prism.section"), section_from_url(url)),
             "time": _attribute(time_tag, "datetime"),
         }
-    )
+    ).drop("_metas")
 
 
 class _FirstMatch(HTMLParser):
@@ -95,12 +98,13 @@ def body_fields(
     key_col: str,
     wanted: dict[str, tuple[str, str | None, str | None]],
     html_col: str = "html",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``(key, *wanted)`` from body paths a pattern cannot follow (nested tags).
+    """``(key, *wanted, *keep)`` from body paths a pattern cannot follow (nested tags).
 
     ``wanted`` maps a field to ``(tag, class or None, enclosing tag or None)``.
     """
-    narrow = pages.select(key_col, html_col)
+    narrow = pages.select(key_col, html_col, *keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -110,30 +114,21 @@ def body_fields(
                 found.feed(html or "")
                 found.close()
                 rows.append([key, *(" ".join(found.texts.get(f, [])) or None for f in wanted)])
-            yield pd.DataFrame(rows, columns=[key_col, *wanted])
+            out = pd.DataFrame(rows, columns=[key_col, *wanted])
+            yield out.assign(**{c: batch[c].to_numpy() for c in keep})
 
-    key_type = narrow.schema[key_col].dataType.simpleString()
-    schema = ", ".join([f"{key_col} {key_type}", *(f"`{f}` string" for f in wanted)])
+    typed = lambda c: f"`{c}` {narrow.schema[c].dataType.simpleString()}"
+    schema = ", ".join([typed(key_col), *(f"`{f}` string" for f in wanted), *map(typed, keep)])
     return narrow.mapInPandas(run, schema)
 
 
 def first_paragraph(pages: DataFrame, key_col: str, html_col: str = "html") -> DataFrame:
     """First ``<p>`` of the article, else of the body, else anywhere."""
-    found = body_fields(
-        pages,
-        key_col,
-        {"_a": ("p", None, "article"), "_b": ("p", None, "body"), "_p": ("p", None, None)},
-        html_col,
-    )
-    has_article = pages.select(
-        F.col(key_col), F.col(html_col).rlike(r"(?is)<article\b").alias("_has_article")
-    )
-    return found.join(has_article, key_col).select(
-        key_col,
-        F.when(F.col("_has_article"), F.col("_a"))
-        .otherwise(F.coalesce("_b", "_p"))
-        .alias("first_paragraph"),
-    )
+    marked = pages.withColumn("_has_article", F.col(html_col).rlike(r"(?is)<article\b"))
+    wanted = {"_a": ("p", None, "article"), "_b": ("p", None, "body"), "_p": ("p", None, None)}
+    found = body_fields(marked, key_col, wanted, html_col, keep=["_has_article"])
+    paragraph = F.when(F.col("_has_article"), F.col("_a")).otherwise(F.coalesce("_b", "_p"))
+    return found.select(key_col, paragraph.alias("first_paragraph"))
 
 
 def _text_at(value: Column, path: str) -> Column:
@@ -162,8 +157,7 @@ def author_string(value: Column) -> Column:
 
 def branch_authors(html: Column, prefix: str = "branch:deeplink:authorName") -> Column:
     """Numbered author metas joined in order, up to the first missing number."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1)
-    named = F.filter(tags, lambda t: F.startswith(_attribute(t, "name"), F.lit(prefix)))
+    named = F.filter(meta_tags(html), lambda t: F.startswith(_attribute(t, "name"), F.lit(prefix)))
     numbered = F.transform(
         named,
         lambda t: F.struct(

@@ -83,6 +83,15 @@ clean_light = _cleaner(r"a-z0-9\-'!?")
 clean_lower = _cleaner(None)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A column used several times, or inside a lambda, is otherwise computed at
+    every use; inside a lambda over an array that is quadratic.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, GAP), lambda w: w != "")
 
@@ -180,8 +189,8 @@ def style_features_16(text: Column) -> dict[str, Column]:
 
 def style_features_18(text: Column) -> dict[str, Column]:
     """Lexical part of the wide style set; ``n_words`` is floored at 1 here."""
-    tokens = words(text)
     total = F.greatest(n_words(text), F.lit(1))
+    distinct = F.size(F.array_distinct(words(text)))
     return {
         "ends_question": _flag(text.endswith("?")),
         "scare_quote_count": _count(text, r"'[^']{2,30}'"),
@@ -189,14 +198,14 @@ def style_features_18(text: Column) -> dict[str, Column]:
         "exclamation_count": _count_char(text, "!"),
         "has_colon": _flag(text.contains(":")),
         "allcaps_word_count": _n_allcaps_words(text),
-        "title_case_ratio": F.size(F.filter(tokens, _is_title_case)) / total,
+        "title_case_ratio": F.size(F.filter(words(text), _is_title_case)) / total,
         "has_says": _flag(text.rlike(rf"(?iU){SAYS}")),
         "has_report": _flag(text.rlike(rf"(?iU){REPORT}")),
         "has_sources": _flag(text.rlike(rf"(?iU){SOURCES}")),
         "has_allegedly": _flag(text.rlike(rf"(?iU){ALLEGEDLY}")),
         "n_words": total,
         "starts_with_number": _flag(text.rlike(r"(?U)^\d")),
-        "type_token_ratio": F.size(F.array_distinct(tokens)) / total,
+        "type_token_ratio": distinct / total,
     }
 
 
@@ -260,11 +269,16 @@ def title_with_subtitle(
 
 def word_dropout(text: Column, key: Column, rate: float = 0.1, seed: int = 0) -> Column:
     """Drop about ``rate`` of the words; short or emptied texts stay as they are."""
-    tokens = words(text)
-    kept = F.filter(tokens, lambda w, i: unit_hash(key, i, F.lit(seed)) >= rate)
-    return F.when(
-        (F.size(tokens) > 2) & (F.size(kept) > 0), F.concat_ws(" ", kept)
-    ).otherwise(text)
+    def drop(tokens: Column) -> Column:
+        kept = F.filter(tokens, lambda w, i: unit_hash(key, i, F.lit(seed)) >= rate)
+        return let(
+            kept,
+            lambda left: F.when(
+                (F.size(tokens) > 2) & (F.size(left) > 0), F.array_join(left, " ")
+            ).otherwise(text),
+        )
+
+    return let(words(text), drop)
 
 
 def with_features(df, text_col: str, *families: Callable[[Column], dict[str, Column]]):

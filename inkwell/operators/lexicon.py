@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from inkwell.functions.text import words
 from inkwell.operators.profile import value_share
-from inkwell.operators.terms import _word_ngrams_of
+from inkwell.operators.terms import ngrams
 
 # Normalisation constant of the compound score, entity types.
 COMPOUND_ALPHA = 15
@@ -62,7 +62,7 @@ def entity_counts(df: DataFrame, key_col: str, text_col: str, gazetteer: DataFra
     ``gazetteer`` is ``(phrase, type)``.  Every listed phrase of up to
     ``max_words`` words counts, also inside a longer one.
     """
-    grams = F.flatten(_word_ngrams_of(bare_words(F.col(text_col)), 1, max_words))
+    grams = ngrams(bare_words(F.col(text_col)), 1, max_words)
     counts = (
         df.select(key_col, F.explode_outer(grams).alias("phrase"))
         .groupBy(key_col, "phrase").agg(F.count("phrase").alias("n"))
