@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
-    PCA, CountVectorizer, ElementwiseProduct, IDF, Normalizer, StandardScaler, VectorAssembler,
+    PCA, CountVectorizerModel, ElementwiseProduct, Normalizer, StandardScaler, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -16,17 +18,11 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.mllib.linalg import Vectors as RowVectors
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from inkwell.functions.text import clean_strict, normalize_raw, stem, style_features_16, with_features
 from inkwell.operators.terms import char_wb_ngrams, word_ngrams
-
-
-@F.pandas_udf(VectorUDT())
-def _sublinear(parts: pd.DataFrame) -> pd.DataFrame:
-    # Sparse vectors hold no zeros here: counts come straight from the tokens.
-    parts["values"] = [1.0 + np.log(v) for v in parts["values"]]
-    return parts
+from inkwell.session import written
 
 
 class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -38,22 +34,96 @@ class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
             self._set(inputCol=inputCol, outputCol=outputCol)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.getOutputCol(), _sublinear(F.unwrap_udt(self.getInputCol())))
+        # A map over Arrow batches instead of a scalar UDF: the log is taken over a
+        # whole batch at once, and the plan node keeps the optimizer from folding the
+        # token expressions below it into a Python UDF's input.
+        name, out = self.getInputCol(), self.getOutputCol()
 
+        def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors = batch.column(batch.schema.get_field_index(name))
+                kind, size, indices, values = vectors.flatten()
+                weights = pa.ListArray.from_arrays(
+                    values.offsets, pc.add(pc.ln(values.values), 1.0), type=values.type
+                )
+                scaled = pa.StructArray.from_arrays(
+                    [kind, size, indices, weights], fields=[vectors.type.field(i) for i in range(4)]
+                )
+                columns = [batch.column(i) for i in range(batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([*columns, scaled], names=[*batch.schema.names, out])
+
+        return df.mapInArrow(logs, T.StructType([*df.schema.fields, T.StructField(out, VectorUDT())]))
+
+
+class TfidfVocabulary(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Token arrays to TF-IDF weights with ``idf = ln((1 + n) / (1 + df)) + 1``.
+
+    One pass finds document and corpus frequencies together: a term's map-side
+    counters are all that is shuffled, however often the term occurs.  The driver
+    receives ``vocabSize`` terms.
+    """
 
-class SmoothIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """IDF with the ``+ 1`` of the smoothed form: ``ln((1 + n) / (1 + df)) + 1``."""
+    vocabSize = Param(Params._dummy(), "vocabSize", "terms kept, by corpus frequency", TypeConverters.toInt)
+    minDF = Param(Params._dummy(), "minDF", "least number of documents", TypeConverters.toFloat)
+    maxDF = Param(Params._dummy(), "maxDF", "largest share of documents", TypeConverters.toFloat)
+    sublinear = Param(Params._dummy(), "sublinear", "use 1 + ln(count)", TypeConverters.toBoolean)
 
-    def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
+    def __init__(self, inputCol=None, outputCol=None, vocabSize=5000, minDF=1.0, maxDF=1.0, sublinear=False):
         super().__init__()
+        self._setDefault(vocabSize=5000, minDF=1.0, maxDF=1.0, sublinear=False)
         if inputCol:
-            self._set(inputCol=inputCol, outputCol=outputCol)
+            self._set(inputCol=inputCol, outputCol=outputCol, vocabSize=vocabSize, minDF=float(minDF),
+                      maxDF=float(maxDF), sublinear=sublinear)
 
     def _fit(self, df: DataFrame) -> Model:
-        idf = IDF(inputCol=self.getInputCol(), outputCol="_idf").fit(df).idf.toArray()
-        return ElementwiseProduct(
-            inputCol=self.getInputCol(), outputCol=self.getOutputCol(), scalingVec=Vectors.dense(idf + 1.0)
+        grams, out = F.col(self.getInputCol()), self.getOutputCol()
+        mark = lambda seen: lambda t: F.struct(t.alias("term"), F.lit(seen).alias("seen"))
+        # The empty marker term counts the documents in the same pass.
+        occurrences = F.concat(
+            F.transform(grams, mark(0)),
+            F.transform(F.array_distinct(grams), mark(1)),
+            F.array(F.struct(F.lit("").alias("term"), F.lit(1).alias("seen"))),
+        )
+        stats = (
+            df.select(F.inline(occurrences)).groupBy("term")
+            .agg(F.sum("seen").alias("df"), F.sum(1 - F.col("seen")).alias("total"))
+        )
+        stats = written(stats, "terms")
+        n = (stats.filter("term = ''").agg(F.max("df")).first()[0]) or 0
+        kept = (
+            stats.filter((F.col("term") != "") & (F.col("df") >= self.getOrDefault("minDF"))
+                         & (F.col("df") <= self.getOrDefault("maxDF") * n))
+            .orderBy(F.col("total").desc(), F.col("term").asc())
+            .limit(self.getOrDefault("vocabSize"))
+            .select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+            .collect()
+        )
+        if not kept:
+            raise ValueError("no term is left in the vocabulary")
+        counts, scaled = f"{out}_tf", f"{out}_sub"
+        stages = [
+            CountVectorizerModel.from_vocabulary([r["term"] for r in kept], self.getInputCol(), counts),
+            DropColumn(self.getInputCol()),
+        ]
+        if self.getOrDefault("sublinear"):
+            stages.append(SublinearTf(counts, scaled))
+            counts = scaled
+        weigh = ElementwiseProduct(
+            inputCol=counts, outputCol=out, scalingVec=Vectors.dense([r["idf"] for r in kept])
         )
+        return PipelineModel(stages=[*stages, weigh])
+
+
+class DropColumn(Transformer, HasInputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Drops an intermediate column, e.g. token arrays once they are counted."""
+
+    def __init__(self, inputCol: str | None = None):
+        super().__init__()
+        if inputCol:
+            self._set(inputCol=inputCol)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.drop(self.getInputCol())
 
 
 class NgramView(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -165,19 +235,14 @@ def text_views(df: DataFrame, text_col: str) -> DataFrame:
 
 def tfidf_stages(
     input_col: str, out: str, analyzer: str = "word", n_min: int = 1, n_max: int = 1,
-    min_df: float = 1.0, max_df: float = 2**63 - 1, vocab_size: int = 5000, sublinear: bool = False,
+    min_df: float = 1.0, max_df: float = 1.0, vocab_size: int = 5000, sublinear: bool = False,
     stop: Sequence[str] = (),
 ) -> list:
     """Pipeline stages for one TF-IDF view; the vocabulary is capped at ``vocab_size``."""
-    grams, counts, scaled, weighted = (f"_{out}_{s}" for s in ("grams", "tf", "sub", "idf"))
-    stages = [
+    grams, weighted = f"_{out}_grams", f"_{out}_idf"
+    return [
         NgramView(input_col, grams, analyzer, n_min, n_max, stop),
-        CountVectorizer(inputCol=grams, outputCol=counts, vocabSize=vocab_size, minDF=min_df, maxDF=max_df),
-    ]
-    if sublinear:
-        stages.append(SublinearTf(counts, scaled))
-    return stages + [
-        SmoothIdf(scaled if sublinear else counts, weighted),
+        TfidfVocabulary(grams, weighted, vocab_size, min_df, max_df, sublinear),
         Normalizer(inputCol=weighted, outputCol=out, p=2.0),
     ]
 
@@ -244,7 +309,9 @@ def fuse_features(
 def svd_projection(df: DataFrame, vector_col: str, k: int, out: str) -> tuple[LinearProjection, list[float]]:
     """Truncated SVD directions of a (capped-vocabulary) vector column and singular values.
 
-    The row matrix stays distributed; the driver holds features x k numbers.
+    One distributed pass sums the features x features Gram matrix, whose size is
+    set by the vocabulary cap and not by the rows; its eigenvectors are the right
+    singular vectors.
     """
     from pyspark.mllib.linalg.distributed import RowMatrix
 
@@ -252,12 +319,16 @@ def svd_projection(df: DataFrame, vector_col: str, k: int, out: str) -> tuple[Li
         lambda r: RowVectors.dense(r.v["values"]) if r.v["indices"] is None
         else RowVectors.sparse(r.v["size"], r.v["indices"], r.v["values"])
     )
-    svd = RowMatrix(rows).computeSVD(k)
-    found = len(svd.s)
-    directions = svd.V.toArray()
+    gram = RowMatrix(rows).computeGramianMatrix().toArray()
+    values, vectors = np.linalg.eigh(gram)
+    order = np.argsort(values)[::-1][:k]
+    order = order[values[order] > 1e-12 * max(float(values.max()), 1e-300)]
+    directions = vectors[:, order]
+    # Eigenvectors have no sign of their own; fix it so that reruns agree.
+    directions = directions * np.sign(directions[np.abs(directions).argmax(axis=0), range(len(order))])
     return (
-        LinearProjection(vector_col, out, [float(x) for x in directions.T.ravel()], found),
-        [float(s) for s in svd.s],
+        LinearProjection(vector_col, out, [float(x) for x in directions.T.ravel()], len(order)),
+        [float(s) for s in np.sqrt(values[order])],
     )
 
 
@@ -286,7 +357,7 @@ def embed_text(
 
         key_type = narrow.schema[key_col].dataType.simpleString()
         return narrow.mapInPandas(run, f"{key_col} {key_type}, embedding array<double>")
-    views = text_views(df.select(key_col, text_col), text_col).select(key_col, "text_clean")
+    views = written(text_views(df.select(key_col, text_col), text_col).select(key_col, "text_clean"), "views")
     weights = Pipeline(
         stages=tfidf_stages("text_clean", "_tfidf", min_df=2, vocab_size=vocab_size, sublinear=True)
     ).fit(views).transform(views).select(key_col, "_tfidf")

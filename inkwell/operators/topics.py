@@ -83,7 +83,7 @@ def lda_topics(
     assigned = model.transform(weighted).select(
         key_col, (F.array_position(mix, F.array_max(mix)) - 1).cast("int").alias("topic"), F.array_max(mix).alias("weight")
     )
-    vocab = pipeline.stages[1].vocabulary  # vocab_size terms
+    vocab = pipeline.stages[1].stages[0].vocabulary  # vocab_size terms
     names = F.array(*[F.lit(v) for v in vocab])
     described = model.describeTopics(top_words)
     words = described.select(

@@ -11,6 +11,7 @@ from inkwell.operators import evaluate as ev, features as ft, models as md, spli
 from inkwell.plans.intake import PREDICTIONS_SQL, predictions
 from inkwell.plans.registry import query
 from inkwell.plans.views import articles, headlines, table
+from inkwell.session import spread, written
 
 STOP = ("the", "and", "of", "to", "in", "that", "is", "for", "with", "de", "la", "der", "die", "und")
 
@@ -95,11 +96,14 @@ def scale(spark, d):
 
 
 def _labelled(spark, d) -> DataFrame:
-    """Both text views, a 0/1 label and a stratified train / test split."""
+    """Both text views, a 0/1 label and a stratified train / test split, as a written table.
+
+    Cleaning runs once; every fit and every score reads the view it needs.
+    """
     rows = headlines(spark, d).select("doc_id", "title", "outlet", "category")
     split = sp.stratified_split(rows, "outlet", "doc_id", 0.25, 1)
     labelled = split.withColumn("label", (F.col("outlet") == "A").cast("double"))
-    return ft.text_views(labelled, "title").drop("title")
+    return spread(written(ft.text_views(labelled, "title").drop("title"), "views"), "doc_id")
 
 
 def _parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,11 +112,8 @@ def _parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _score(pipeline: Pipeline, spark, d) -> DataFrame:
     """Fit on the train part, predict the test part."""
-    with md.kept(_labelled(spark, d)) as df:
-        train, _ = _parts(df)
-        model = pipeline.fit(train)
-    _, test = _parts(_labelled(spark, d))
-    return ev.predict_table(model, test, "doc_id", ["label"])
+    train, test = _parts(_labelled(spark, d))
+    return ev.predict_table(pipeline.fit(train), test, "doc_id", ["label"])
 
 
 def _word_view(size: int = 1000, **options) -> list:
@@ -175,12 +176,10 @@ def logistic_improved(spark, d):
 @query()
 def linear_svm(spark, d):
     """Class-balanced weights."""
-    df = md.class_weights(_labelled(spark, d))
-    with md.kept(df) as kept:
-        train, _ = _parts(kept)
-        n = train.count()
-        model = Pipeline(stages=[*_word_view(), md.linear_svm(1.0, n, 20, weightCol="weight")]).fit(train)
-    return ev.predict_table(model, _parts(df)[1], "doc_id", ["label"])
+    train, test = _parts(_labelled(spark, d))
+    svm = md.linear_svm(1.0, train.count(), 20, weightCol="weight")
+    model = Pipeline(stages=[*_word_view(), svm]).fit(md.class_weights(train))
+    return ev.predict_table(model, test, "doc_id", ["label"])
 
 
 @query()
@@ -193,12 +192,10 @@ def tree_ensembles(spark, d):
     """Random forest and boosted trees on SVD-reduced text, side by side."""
     df = _labelled(spark, d)
     weighted = Pipeline(stages=_word_view(500)).fit(_parts(df)[0]).transform(df).select("doc_id", "label", "split", "features")
-    with md.kept(weighted) as kept:
-        projection, _ = ft.svd_projection(_parts(kept)[0], "features", 20, "low")
-        train, test = _parts(projection.transform(kept))
-        forest = md.random_forest(20, 0, featuresCol="low").fit(train)
-        boosted = md.boosted_trees(10, 4, 0.1, 0.8, 0, featuresCol="low").fit(train)
-    _, test = _parts(projection.transform(weighted))
+    projection, _ = ft.svd_projection(_parts(weighted)[0], "features", 20, "low")
+    train, test = _parts(written(projection.transform(weighted).drop("features"), "low"))
+    forest = md.random_forest(20, 0, featuresCol="low").fit(train)
+    boosted = md.boosted_trees(10, 4, 0.1, 0.8, 0, featuresCol="low").fit(train)
     scored = forest.transform(test).select("doc_id", "label", "low", F.col("prediction").alias("forest"))
     return boosted.transform(scored).select("doc_id", "label", F.col("forest"), F.col("prediction").alias("boosted"))
 
@@ -217,28 +214,23 @@ def _folded(spark, d, size: int, k: int) -> DataFrame:
     df = _labelled(spark, d)
     features = Pipeline(stages=_word_view(size)).fit(_parts(df)[0]).transform(df)
     narrow = features.select("doc_id", "label", "split", "outlet", "features")
-    return sp.repeated_folds(narrow, "outlet", "doc_id", k, 1, 3).drop("outlet")
+    return written(sp.repeated_folds(narrow, "outlet", "doc_id", k, 1, 3).drop("outlet"), "folds")
 
 
 @query()
 def calibrate_scores(spark, d):
-    df = _folded(spark, d, 300, 2)
-    with md.kept(df) as kept:
-        train, test = _parts(kept)
-        n = train.count()
-        out = md.calibrate_scores(train, test.select("doc_id", "label", "features"), md.linear_svm(1.0, n, 10), "fold_0", 2)
-        return out.select("doc_id", "label", "probability", "prediction")
+    train, test = _parts(_folded(spark, d, 300, 2))
+    svm = md.linear_svm(1.0, train.count(), 10)
+    out = md.calibrate_scores(train, test.select("doc_id", "label", "features"), svm, "fold_0", 2)
+    return out.select("doc_id", "label", "probability", "prediction")
 
 
 @query()
 def stack_models(spark, d):
-    df = _folded(spark, d, 300, 2)
-    with md.kept(df) as kept:
-        train, test = _parts(kept)
-        n = train.count()
-        bases = {"svm": md.linear_svm(1.0, n, 10), "bayes": md.naive_bayes("multinomial")}
-        out = md.stack_models(train, test.select("doc_id", "label", "features"), bases, "doc_id", "fold_0", 2)
-        return out.select("doc_id", "label", vector_to_array("probability")[1].alias("probability"), "prediction")
+    train, test = _parts(_folded(spark, d, 300, 2))
+    bases = {"svm": md.linear_svm(1.0, train.count(), 10), "bayes": md.naive_bayes("multinomial")}
+    out = md.stack_models(train, test.select("doc_id", "label", "features"), bases, "doc_id", "fold_0", 2)
+    return out.select("doc_id", "label", vector_to_array("probability")[1].alias("probability"), "prediction")
 
 
 @query()
@@ -246,41 +238,42 @@ def grid_search(spark, d):
     """Regularisation grid under rolling folds."""
     rows = articles(spark, d).select("doc_id", "title", "outlet", "ts")
     df = ft.text_views(rows.withColumn("label", (F.col("outlet") == "A").cast("double")), "title")
-    features = Pipeline(stages=_word_view(300)).fit(df).transform(df).select("doc_id", "label", "ts", "features")
-    with md.kept(sp.rolling_slices(features, "ts", "doc_id", 3)) as sliced:
-        n = sliced.count()
-        folds = md.prefix_folds(sliced, 3)
-        return md.grid_search(folds, lambda c: md.logistic(c["c"], n, 10), md.grid(c=[0.1, 1.0]))
+    df = written(sp.rolling_slices(df.drop("title"), "ts", "doc_id", 3), "slices")
+    # The first prefix is in every training fold, so a vocabulary from it leaks nothing.
+    view = Pipeline(stages=_word_view(300)).fit(df.filter("slice = 0"))
+    sliced = written(view.transform(df).select("doc_id", "label", "slice", "features"), "features")
+    n = sliced.count()
+    folds = md.prefix_folds(sliced, 3)
+    return md.grid_search(folds, lambda c: md.logistic(c["c"], n, 10), md.grid(c=[0.1, 1.0]))
 
 
 @query()
 def random_search(spark, d):
     """Seeded draw from a product grid of text and model settings."""
-    with md.kept(_labelled(spark, d)) as df:
-        train, test = _parts(df)
-        n = train.count()
-        configs = md.grid(vocab=[100, 300], n_max=[1, 2], c=[0.1, 1.0])
+    train, test = _parts(_labelled(spark, d))
+    n = train.count()
+    configs = md.grid(vocab=[100, 300], n_max=[1, 2], c=[0.1, 1.0])
 
-        def make(config):
-            view = ft.tfidf_stages("text_clean", "features", n_max=config["n_max"], vocab_size=config["vocab"])
-            return Pipeline(stages=[*view, md.logistic(config["c"], n, 10)])
+    def make(config):
+        view = ft.tfidf_stages("text_clean", "features", n_max=config["n_max"], vocab_size=config["vocab"])
+        return Pipeline(stages=[*view, md.logistic(config["c"], n, 10)])
 
-        return md.grid_search([(train, test)], make, md.draw_configs(configs, 3, 0))
+    return md.grid_search([(train, test)], make, md.draw_configs(configs, 3, 0))
 
 
 @query()
 def ablate(spark, d):
     """Stop words and stemming, with the rest of the pipeline held fixed."""
-    with md.kept(_labelled(spark, d)) as df:
-        n = df.count()
-        stemmed = ft.stemmed(df, "text_clean")
-        variants = {}
-        for name, base, stop in (
-            ("plain", df, ()), ("stop words removed", df, STOP), ("stemmed", stemmed, ()), ("stop + stem", stemmed, STOP),
-        ):
-            stages = [*_word_view(500, stop=stop), md.logistic(1.0, n, 10)]
-            variants[name] = (*_parts(base), Pipeline(stages=stages))
-        return md.experiment(variants)
+    df = _labelled(spark, d)
+    n = df.count()
+    stemmed = ft.stemmed(df, "text_clean")
+    variants = {}
+    for name, base, stop in (
+        ("plain", df, ()), ("stop words removed", df, STOP), ("stemmed", stemmed, ()), ("stop + stem", stemmed, STOP),
+    ):
+        stages = [*_word_view(500, stop=stop), md.logistic(1.0, n, 10)]
+        variants[name] = (*_parts(base), Pipeline(stages=stages))
+    return md.experiment(variants)
 
 
 @query()

@@ -6,6 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from inkwell.session import spread
+
 STORY_EVENTS = (
     ("launch", datetime(2024, 1, 8, 12, 0)),
     ("debate", datetime(2024, 1, 15)),
@@ -23,14 +25,14 @@ def _outlet():
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole document texts with outlet (by language) and category (by source)."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", F.col("text").alias("title"), "lang", F.col("source").alias("category"), _outlet()
     )
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines joined to an event (date, author, topic) and labels; gaps come from the labels."""
-    docs = table(spark, sf_dir, "documents").alias("d")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").alias("d")
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "user_id").alias("e")
     labels = table(spark, sf_dir, "labels").alias("l")
     return (

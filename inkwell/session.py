@@ -47,6 +47,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a table of fewer splits than cores over all cores; others pass unchanged.
+
+    Text work is CPU-bound, and a small file is one split.  A table of many files
+    already has its parallelism and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint, which outlives lost executors."""
     spark = df.sparkSession
@@ -54,3 +64,14 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """Cut lineage through a Parquet table in the shared folder.
+
+    Unlike a checkpoint it stays columnar, so later passes read only the columns
+    they need.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
