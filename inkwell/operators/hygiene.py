@@ -61,17 +61,21 @@ def dedup_text(
 ) -> DataFrame:
     """First row per (cleaned text, source) by ``order_col``; empty cleaned texts go.
 
-    ``min_by`` combines map-side, so a text that makes up a third of the table
-    shrinks to one row per task before the shuffle.  The text travels once, in
-    the row itself; the grouping key is its digest.
+    ``order_col`` is a unique key.  Only digests and keys take part in the
+    grouping, with fixed-size counters combined map-side, so a text that makes up
+    a third of the table shrinks to one row per task before the shuffle; whole
+    rows are then picked by their key, which has no hot value.
     """
-    cleaned = df.withColumn("text_clean", cleaner(F.col(text_col))).filter(F.col("text_clean") != "")
-    row = F.struct(*cleaned.columns)
-    return (
+    cleaned = df.withColumn("text_clean", cleaner(F.col(text_col)))
+    # Empty texts are told by an aggregate: a filter on the cleaned text would be
+    # pushed below the grouping and clean every text a second time.
+    winners = (
         cleaned.groupBy(F.sha2("text_clean", 256).alias("_digest"), F.col(source_col).alias("_source"))
-        .agg(F.min_by(row, F.col(order_col)).alias("_row"))
-        .select("_row.*")
+        .agg(F.min(order_col).alias(order_col), F.max(F.length("text_clean")).alias("_length"))
+        .filter(F.col("_length") > 0)
+        .select(order_col)
     )
+    return cleaned.join(winners, order_col, "left_semi")
 
 
 def drop_cross_group_dupes(df: DataFrame, text_col: str, group_col: str) -> DataFrame:

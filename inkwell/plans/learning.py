@@ -44,8 +44,7 @@ def word_ngrams(spark, d):
         FROM pn, (VALUES (3), (4), (5)) AS s(k) WHERE k = 3 OR length(p) >= k)
     SELECT term, sum(n)::BIGINT AS n FROM g GROUP BY term""")
 def char_wb_ngrams(spark, d):
-    counts = tm.term_counts(headlines(spark, d), "doc_id", tm.char_wb_ngrams(F.col("title"), 3, 5))
-    return counts.groupBy("term").agg(F.sum("tf").alias("n"))
+    return tm.char_term_counts(headlines(spark, d), [], "title", 3, 5).withColumnRenamed("tf", "n")
 
 
 @query(f"""WITH {GRAMS_SQL}, {weight_sql("count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM headlines)", "1 + ln(tf)")}
