@@ -45,7 +45,7 @@ def read_articles(
         return require_columns(spark.read.format(fmt).load(paths), required)
     options = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
     headers = [
-        [c.strip("﻿\"") for c in spark.read.options(header=True).csv(p).columns] for p in paths
+        [c.strip("\ufeff\"") for c in spark.read.options(header=True).csv(p).columns] for p in paths
     ]
     types = {f.name: f.dataType for f in schema}
     frames = []
@@ -108,7 +108,9 @@ def write_table(
     seen = Observation()
     writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.options(header=True, escape='"')
+        writer = writer.options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
