@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from inkwell.functions.text import clean_strict, is_missing, strip
 
@@ -141,11 +141,9 @@ def backfill(
     return joined.withColumns(changes).drop("_key", "_patch")
 
 
-def backfill_counts(filled: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, Observation]:
-    """The frame with an observation of cells filled per column, counted as it is written."""
-    seen = Observation()
-    sums = [F.sum(f"filled_{c}").alias(c) for c in cols]
-    return filled.observe(seen, *sums), seen
+def backfill_counts(filled: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Cells filled per column, as one row."""
+    return filled.agg(*[F.sum(f"filled_{c}").alias(c) for c in cols])
 
 
 def collapse_rare(

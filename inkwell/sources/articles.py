@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from inkwell.functions.urls import looks_like_url
 
@@ -103,10 +103,8 @@ def discover_roles(df: DataFrame, sample: int = 50, threshold: float = 0.5) -> d
 
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "errorifexists"
-) -> int:
-    """Write a table and return the number of rows written, without a second pass."""
-    seen = Observation()
-    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).format(fmt)
+) -> None:
+    writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.options(
             header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
@@ -114,7 +112,6 @@ def write_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
-    return seen.get["rows"]
 
 
 def quarantine(df: DataFrame, rules: dict[str, Column], key_col: str = "url") -> tuple[DataFrame, DataFrame]:
@@ -136,8 +133,8 @@ def write_quarantined(
     write_table(rejected, rejected_path)
 
 
-def write_vectors(df: DataFrame, key_col: str, vector_col: str, path: str) -> int:
-    return write_table(df.select(key_col, F.col(vector_col).cast("array<float>")), path)
+def write_vectors(df: DataFrame, key_col: str, vector_col: str, path: str) -> None:
+    write_table(df.select(key_col, F.col(vector_col).cast("array<float>")), path)
 
 
 def read_vectors(spark: SparkSession, path: str, keys: DataFrame, key_col: str) -> DataFrame:
