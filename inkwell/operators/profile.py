@@ -183,16 +183,24 @@ def share_divergence(df: DataFrame, col: str, by: str, a: str, b: str, k: int |
     return wide if k is None else top_n(wide, F.col("abs_diff"), k, col)
 
 
-def overlap_matrix(df: DataFrame, a: str, b: str) -> DataFrame:
+def overlap_matrix(df: DataFrame, a: str, b: str, exclude: Sequence = ()) -> DataFrame:
     """Percent of all rows in each (a, b) cell, zeros kept.
 
-    The grid comes from a pivot (which refuses more than
-    ``spark.sql.pivotMaxValues`` columns), not from a product of the two sides.
+    NULL and ``exclude`` values (an outlier mark, say) have no cells but their
+    rows stay in the denominator.  The grid comes from a pivot (which refuses more
+    than ``spark.sql.pivotMaxValues`` columns), not from a product of the sides.
     """
-    wide = _present(df, [a, b]).groupBy(a).pivot(b).count().na.fill(0)
+    known = _present(df, [a, b])
+    if exclude:
+        known = known.filter(~F.col(a).isin(*exclude) & ~F.col(b).isin(*exclude))
+    wide = known.groupBy(a).pivot(b).count().na.fill(0)
     cells = [c for c in wide.columns if c != a]
-    total = F.sum("n").over(W.partitionBy(F.lit(0)))
-    return wide.unpivot([a], cells, b, "n").withColumn("percent", F.col("n") * 100.0 / total)
+    one = {"_all": F.lit(0)}
+    total = df.agg(F.count(F.lit(1)).alias("_total")).withColumns(one)
+    return (
+        wide.unpivot([a], cells, b, "n").withColumns(one).join(F.broadcast(total), "_all")
+        .select(a, b, "n", (F.col("n") * 100.0 / F.col("_total")).alias("percent"))
+    )
 
 
 def histogram(df: DataFrame, col: str, width: float, by: str) -> DataFrame:

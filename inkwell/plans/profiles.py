@@ -145,7 +145,8 @@ def share_divergence(spark, d):
     return pf.share_divergence(headlines(spark, d), "lang", "outlet", "A", "B")
 
 
-@query("""WITH @articles, g AS (SELECT * FROM (SELECT DISTINCT category FROM articles) a, (SELECT DISTINCT topic FROM articles) b),
+@query("""WITH @articles, g AS (SELECT * FROM (SELECT DISTINCT category FROM articles WHERE topic IS NOT NULL) a,
+        (SELECT DISTINCT topic FROM articles WHERE topic IS NOT NULL) b),
     n AS (SELECT category, topic, count(*) AS n FROM articles GROUP BY category, topic)
     SELECT g.category, g.topic, coalesce(n.n, 0) AS n, round(coalesce(n.n, 0) * 100.0::DOUBLE / (SELECT count(*) FROM articles), 6) AS percent
     FROM g LEFT JOIN n ON n.category = g.category AND n.topic = g.topic""")
