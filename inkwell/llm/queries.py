@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from inkwell.llm.mixing import op4_cube_mix
 from inkwell.llm.packing import op3_best_fit
 from inkwell.llm.token_files import op7_token_files
+from inkwell.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_best_fit": op3_best_fit,
+    "op4_cube_mix": op4_cube_mix,
     "op7_token_files": op7_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": OP1_SQL,
+}
