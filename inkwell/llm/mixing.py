@@ -6,7 +6,8 @@ probability.  The flight phase moves the probabilities of three documents at a
 time along the null space of (documents, tokens) until one of them is 0 or 1, so
 both totals of the source stay exact.  It runs over blocks of documents; the at
 most two fractional documents of each block meet again in the next, much smaller
-level.  At the last level two documents per source are left, the landing problem.
+level.  At the last level two documents per source are left, the landing problem; what it
+misses is made up by turning a few decided documents of that level.
 
 Chance comes from hashes of the documents, so reruns agree.
 """
@@ -86,15 +87,25 @@ def flight(units: list[list[float]], rng: random.Random) -> None:
         active = [u for u in active if 0.0 < u[1] < 1.0]
 
 
-def land(units: list[list[float]]) -> None:
-    """Decide the last (at most two) fractional units so that the tokens stay closest to their expectation."""
+def land(units: list[list[float]], wanted: float) -> None:
+    """Decide the last (at most two) fractional units so that the tokens come closest to ``wanted``.
+
+    What is still missing is made up by turning, one by one, the decided unit that brings
+    the tokens closest; this ends when none does.
+    """
     left = [u for u in units if 0.0 < u[1] < 1.0]
-    if left:
-        wanted = sum(u[0] * u[1] for u in left)
-        ways = range(1 << len(left))
-        best = min(ways, key=lambda w: abs(sum(u[0] for i, u in enumerate(left) if w >> i & 1) - wanted))
-        for i, unit in enumerate(left):
-            unit[1] = float(best >> i & 1)
+    gap = wanted - sum(u[0] for u in units if u[1] == 1.0)
+    ways = range(1 << len(left))
+    best = min(ways, key=lambda w: abs(gap - sum(u[0] for i, u in enumerate(left) if w >> i & 1)))
+    for i, unit in enumerate(left):
+        unit[1] = float(best >> i & 1)
+        gap -= unit[0] * unit[1]
+    while units:
+        unit = min(units, key=lambda u: abs(gap - (u[0] if u[1] == 0.0 else -u[0])))
+        change = unit[0] if unit[1] == 0.0 else -unit[0]
+        if abs(gap - change) >= abs(gap):
+            break
+        unit[1], gap = 1.0 - unit[1], gap - change
 
 
 def _flyer(size: str, p: str, order: str, level: int, last: bool):
@@ -102,9 +113,11 @@ def _flyer(size: str, p: str, order: str, level: int, last: bool):
         # large documents first, so that the last, undecided ones are small
         frame = frame.sort_values([size, order], ascending=[False, True], kind="stable").reset_index(drop=True)
         units = [list(u) for u in zip(frame[size].astype(float), frame[p].astype(float))]
+        before = [u[1] for u in units]
+        free = [0.0 < q < 1.0 for q in before]
         flight(units, random.Random(f"{level} {frame[order].min()}"))
         if last:
-            land(units)
+            land([u for u, f in zip(units, free) if f], sum(u[0] * q for u, q, f in zip(units, before, free) if f))
         frame[p] = [u[1] for u in units]
         return frame.drop(columns=["_n", "_block"])
 
