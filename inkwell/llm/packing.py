@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from inkwell.llm.common import stored, table
 from inkwell.llm.token_files import tokenizer_path
-from inkwell.llm.tokens import encoder
+from inkwell.llm.tokens import encoder, sliced
 
 CAPACITY = 2048
 
@@ -152,7 +152,7 @@ def cut_documents(
 
     def cut(batches):
         encode = encoder(tokenizer).encode
-        for batch in batches:
+        for batch in sliced(batches):
             ids, at = encode(batch.column(1))
             ids = np.insert(ids, at[1:], np.uint32(end_id)).astype("<u4")
             at = at + np.arange(len(at))

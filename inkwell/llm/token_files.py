@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from inkwell.llm.common import scratch, stored, table
-from inkwell.llm.tokens import encoder
+from inkwell.llm.tokens import encoder, sliced
 
 MAGIC = b"DAC1"
 HEADER = struct.Struct("<4sIQQQ")
@@ -141,7 +141,7 @@ def write_token_files(
             docs_held, counts_held, ids_held, held = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["segment"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             ids, offsets = with_end.encode(batch.column(1))
             ids = np.insert(ids, offsets[1:], np.uint32(end_id))
             offsets = offsets + np.arange(len(offsets))

@@ -17,6 +17,8 @@ import pyarrow as pa
 #: Pieces a worker keeps at most, and the longest piece it keeps.
 KEPT_PIECES = 1_000_000
 KEPT_BYTES = 24
+#: Bytes of text that are cut and looked up at a time; a longer text is one step.
+STEP_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -44,6 +46,13 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+def sliced(batches, rows: int = 1024):
+    """The same rows in small batches, so that a worker holds little at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string array; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -117,6 +126,16 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of text i are ids[offsets[i] : offsets[i + 1]]."""
         raw, at = string_buffers(texts)
+        ids, counts, row = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
+        while row < len(at) - 1:
+            stop = max(row + 1, int(np.searchsorted(at, at[row] + STEP_BYTES, "right")) - 1)
+            part, ends = self._encode(raw[at[row] : at[stop]], at[row : stop + 1] - at[row])
+            ids.append(part)
+            counts.append(np.diff(ends))
+            row = stop
+        return np.concatenate(ids), np.cumsum(np.concatenate(counts))
+
+    def _encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(raw)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
@@ -177,7 +196,6 @@ class Encoder:
         counts = np.array([len(x) for x in ids], np.int64)
         starts = len(self.flat) + np.cumsum(counts) - counts
         self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))])
-        hashes = np.concatenate([self.hashes, h])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.keys = hashes[order], np.concatenate([self.keys, keys])[order]
-        self.starts, self.counts = np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
+        place = np.searchsorted(self.hashes, h)  # h is sorted
+        self.hashes, self.keys = np.insert(self.hashes, place, h), np.insert(self.keys, place, keys, axis=0)
+        self.starts, self.counts = np.insert(self.starts, place, starts), np.insert(self.counts, place, counts)
