@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkwell.llm.line_rules import OP6_SQL, op6_line_rules
 from inkwell.llm.mixing import op4_cube_mix
 from inkwell.llm.packing import op3_best_fit
 from inkwell.llm.token_files import op7_token_files
@@ -11,8 +12,10 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op3_best_fit": op3_best_fit,
     "op4_cube_mix": op4_cube_mix,
+    "op6_line_rules": op6_line_rules,
     "op7_token_files": op7_token_files,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
+    "op6_line_rules": OP6_SQL,
 }
