@@ -23,7 +23,7 @@ from inkwell.llm.common import SPACE_CLASS, stored, table
 
 WEIGHTS = (3, 1, 2)
 #: Documents of a source whose flight is one task.
-BLOCK = 20_000
+BLOCK = 2_000
 NEAR = 1e-9
 
 
