@@ -41,6 +41,12 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
     edges = stored(edges, label)
+
+    def state(table: DataFrame) -> tuple:
+        """Rows and their hashes summed: equal for equal tables."""
+        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+
+    before = state(edges)
     while True:
         both = edges.select(F.col("hi").alias("v"), F.col("lo").alias("w")).union(
             edges.select(F.col("lo").alias("v"), F.col("hi").alias("w"))
@@ -61,10 +67,10 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
             .where("hi <> lo").distinct()
         )
         small = stored(small, label)
-        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
+        edges, after = small, state(small)
+        if after == before:
             break
+        before = after
     nodes = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return nodes.union(roots)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from inkwell.llm.line_rules import OP6_SQL, op6_line_rules
 from inkwell.llm.mixing import op4_cube_mix
+from inkwell.llm.ngram_join import OP10_SQL, op10_ngram_join
 from inkwell.llm.packing import op3_best_fit
+from inkwell.llm.privacy import op5_privacy
 from inkwell.llm.token_files import op7_token_files
 from inkwell.llm.warc import OP1_SQL, op1_warc
 
@@ -12,10 +14,13 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op3_best_fit": op3_best_fit,
     "op4_cube_mix": op4_cube_mix,
+    "op5_privacy": op5_privacy,
     "op6_line_rules": op6_line_rules,
     "op7_token_files": op7_token_files,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op6_line_rules": OP6_SQL,
+    "op10_ngram_join": OP10_SQL,
 }
