@@ -7,11 +7,13 @@ from inkwell.llm.mixing import op4_cube_mix
 from inkwell.llm.ngram_join import OP10_SQL, op10_ngram_join
 from inkwell.llm.packing import op3_best_fit
 from inkwell.llm.privacy import op5_privacy
+from inkwell.llm.quality import op2_quality
 from inkwell.llm.token_files import op7_token_files
 from inkwell.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_quality": op2_quality,
     "op3_best_fit": op3_best_fit,
     "op4_cube_mix": op4_cube_mix,
     "op5_privacy": op5_privacy,
