@@ -9,6 +9,7 @@ from inkwell.llm.packing import op3_best_fit
 from inkwell.llm.privacy import op5_privacy
 from inkwell.llm.quality import op2_quality
 from inkwell.llm.token_files import op7_token_files
+from inkwell.llm.vector_forest import OP9_SQL, op9_vector_forest
 from inkwell.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -19,10 +20,12 @@ QUERIES = {
     "op5_privacy": op5_privacy,
     "op6_line_rules": op6_line_rules,
     "op7_token_files": op7_token_files,
+    "op9_vector_forest": op9_vector_forest,
     "op10_ngram_join": op10_ngram_join,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op6_line_rules": OP6_SQL,
+    "op9_vector_forest": OP9_SQL,
     "op10_ngram_join": OP10_SQL,
 }
