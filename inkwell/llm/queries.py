@@ -8,6 +8,7 @@ from inkwell.llm.ngram_join import OP10_SQL, op10_ngram_join
 from inkwell.llm.packing import op3_best_fit
 from inkwell.llm.privacy import op5_privacy
 from inkwell.llm.quality import op2_quality
+from inkwell.llm.repeats import op8_repeats
 from inkwell.llm.token_files import op7_token_files
 from inkwell.llm.vector_forest import OP9_SQL, op9_vector_forest
 from inkwell.llm.warc import OP1_SQL, op1_warc
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_privacy": op5_privacy,
     "op6_line_rules": op6_line_rules,
     "op7_token_files": op7_token_files,
+    "op8_repeats": op8_repeats,
     "op9_vector_forest": op9_vector_forest,
     "op10_ngram_join": op10_ngram_join,
 }
