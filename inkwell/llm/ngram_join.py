@@ -220,6 +220,19 @@ def similar_texts(
     ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near copies: of each component the row with the smallest id stays.
+
+    Of rows that repeat an id one stays; rows with a null id stay.
+    """
+    found = stored(similar_texts(docs, id_col, text_col), "near-copies")
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m"), F.min("component_id").alias("c"))
+    ids = stored(ids.where("m > 1 OR c <> doc_id").select(F.col("doc_id").alias("_id"), (F.col("c") == F.col("doc_id")).alias("_first")), "not-single")
+    single = docs.join(ids, F.col(id_col) == F.col("_id"), "left_anti")
+    again = docs.join(ids.where("_first").select("_id"), F.col(id_col) == F.col("_id"), "left_semi")
+    return single.unionByName(again.dropDuplicates([id_col]))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_texts(table(spark, sf_dir, "documents"))
 
