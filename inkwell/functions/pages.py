@@ -156,16 +156,21 @@ def author_string(value: Column) -> Column:
 
 
 def branch_authors(html: Column, prefix: str = "branch:deeplink:authorName") -> Column:
-    """Numbered author metas joined in order, up to the first missing number."""
+    """Numbered author metas joined in order, up to the first missing number.
+
+    Of tags with one number the first in the page counts.
+    """
     named = F.filter(meta_tags(html), lambda t: F.startswith(_attribute(t, "name"), F.lit(prefix)))
     numbered = F.transform(
         named,
-        lambda t: F.struct(
+        lambda t, i: F.struct(
             F.substring(_attribute(t, "name"), len(prefix) + 1, 9).try_cast("int").alias("n"),
+            i.alias("place"),
             F.coalesce(strip(unescape_entities(_attribute(t, "content"))), F.lit("")).alias("name"),
         ),
     )
-    unique = F.array_sort(F.filter(numbered, lambda s: s["n"].isNotNull()))
+    ordered = F.array_sort(F.filter(numbered, lambda s: s["n"].isNotNull()))
+    unique = F.filter(ordered, lambda s, i: (i == 0) | (F.get(ordered, i - 1)["n"] != s["n"]))
     in_run = F.filter(unique, lambda s, i: s["n"] == i + 1)
     names = F.filter(F.transform(in_run, lambda s: s["name"]), lambda n: n != "")
     return F.nullif(F.array_join(names, ", "), F.lit(""))

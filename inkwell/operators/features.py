@@ -59,18 +59,19 @@ class TfidfVocabulary(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadabl
     """Token arrays to TF-IDF weights with ``idf = ln((1 + n) / (1 + df)) + 1``.
 
     One pass finds document and corpus frequencies together: a term's map-side
-    counters are all that is shuffled, however often the term occurs.  The driver
-    receives ``vocabSize`` terms.
+    counters are all that is shuffled, however often the term occurs.  ``vocabSize``
+    keeps the most frequent terms, 0 all that the document frequencies allow; they
+    go through the driver, as every Spark vocabulary does.
     """
 
-    vocabSize = Param(Params._dummy(), "vocabSize", "terms kept, by corpus frequency", TypeConverters.toInt)
+    vocabSize = Param(Params._dummy(), "vocabSize", "terms kept, by corpus frequency; 0: all", TypeConverters.toInt)
     minDF = Param(Params._dummy(), "minDF", "least number of documents", TypeConverters.toFloat)
     maxDF = Param(Params._dummy(), "maxDF", "largest share of documents", TypeConverters.toFloat)
     sublinear = Param(Params._dummy(), "sublinear", "use 1 + ln(count)", TypeConverters.toBoolean)
 
-    def __init__(self, inputCol=None, outputCol=None, vocabSize=5000, minDF=1.0, maxDF=1.0, sublinear=False):
+    def __init__(self, inputCol=None, outputCol=None, vocabSize=0, minDF=1.0, maxDF=1.0, sublinear=False):
         super().__init__()
-        self._setDefault(vocabSize=5000, minDF=1.0, maxDF=1.0, sublinear=False)
+        self._setDefault(vocabSize=0, minDF=1.0, maxDF=1.0, sublinear=False)
         if inputCol:
             self._set(inputCol=inputCol, outputCol=outputCol, vocabSize=vocabSize, minDF=float(minDF),
                       maxDF=float(maxDF), sublinear=sublinear)
@@ -94,10 +95,10 @@ class TfidfVocabulary(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadabl
             stats.filter((F.col("term") != "") & (F.col("df") >= self.getOrDefault("minDF"))
                          & (F.col("df") <= self.getOrDefault("maxDF") * n))
             .orderBy(F.col("total").desc(), F.col("term").asc())
-            .limit(self.getOrDefault("vocabSize"))
-            .select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
-            .collect()
         )
+        if self.getOrDefault("vocabSize"):
+            kept = kept.limit(self.getOrDefault("vocabSize"))
+        kept = kept.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).collect()
         if not kept:
             raise ValueError("no term is left in the vocabulary")
         counts, scaled = f"{out}_tf", f"{out}_sub"
@@ -235,26 +236,28 @@ def text_views(df: DataFrame, text_col: str) -> DataFrame:
 
 def tfidf_stages(
     input_col: str, out: str, analyzer: str = "word", n_min: int = 1, n_max: int = 1,
-    min_df: float = 1.0, max_df: float = 1.0, vocab_size: int = 5000, sublinear: bool = False,
+    min_df: float = 1.0, max_df: float = 1.0, vocab_size: int | None = None, sublinear: bool = False,
     stop: Sequence[str] = (),
 ) -> list:
-    """Pipeline stages for one TF-IDF view; the vocabulary is capped at ``vocab_size``."""
+    """Pipeline stages for one TF-IDF view.
+
+    The vocabulary is what ``min_df`` and ``max_df`` leave; ``vocab_size`` cuts it to the
+    most frequent terms only where a model is defined that way.
+    """
     grams, weighted = f"_{out}_grams", f"_{out}_idf"
     return [
         NgramView(input_col, grams, analyzer, n_min, n_max, stop),
-        TfidfVocabulary(grams, weighted, vocab_size, min_df, max_df, sublinear),
+        TfidfVocabulary(grams, weighted, vocab_size or 0, min_df, max_df, sublinear),
         Normalizer(inputCol=weighted, outputCol=out, p=2.0),
     ]
 
 
-def feature_union(vocab_size: int = 5000, char_size: int = 5000, out: str = "features") -> Pipeline:
+def feature_union(out: str = "features") -> Pipeline:
     """Word, character and scaled style blocks, each from its own text view."""
     return Pipeline(
         stages=[
-            *tfidf_stages("text_clean", "_word", n_min=1, n_max=2, min_df=2, max_df=0.95,
-                          vocab_size=vocab_size, sublinear=True),
-            *tfidf_stages("text", "_char", "char", 3, 5, min_df=2, max_df=0.98,
-                          vocab_size=char_size, sublinear=True),
+            *tfidf_stages("text_clean", "_word", n_min=1, n_max=2, min_df=2, max_df=0.95, sublinear=True),
+            *tfidf_stages("text", "_char", "char", 3, 5, min_df=2, max_df=0.98, sublinear=True),
             StyleVector("text", "_style_raw"),
             StandardScaler(inputCol="_style_raw", outputCol="_style", withMean=False, withStd=True),
             VectorAssembler(inputCols=["_word", "_char", "_style"], outputCol=out),

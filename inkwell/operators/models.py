@@ -35,31 +35,56 @@ def kept(df: DataFrame):
         df.unpersist()
 
 
-def logistic(c: float = 1.0, n: int = 1, max_iter: int = 100, **params) -> LogisticRegression:
-    """Logistic regression with inverse strength ``c`` over ``n`` training rows."""
-    return LogisticRegression(regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=max_iter, **params)
+class LogisticByRows(LogisticRegression):
+    """Logistic regression with inverse strength ``c``: its penalty is 1 / (c * rows of the fit)."""
 
+    c = 1.0
 
-def logistic_baseline(text_col: str, n: int, stop: Sequence[str] = ()) -> Pipeline:
-    return Pipeline(stages=[*tfidf_stages(text_col, "features", vocab_size=100, stop=stop), logistic(1.0, n)])
+    def _fit(self, dataset: DataFrame):
+        return super(LogisticByRows, self.copy({self.regParam: 1.0 / (self.c * max(dataset.count(), 1))}))._fit(dataset)
 
 
-def logistic_improved(text_col: str, n: int, stop: Sequence[str] = ()) -> Pipeline:
+class SvmByRows(LinearSVC):
+    """Linear SVM with inverse strength ``c``: its penalty is 1 / (c * rows of the fit)."""
+
+    c = 1.0
+
+    def _fit(self, dataset: DataFrame):
+        return super(SvmByRows, self.copy({self.regParam: 1.0 / (self.c * max(dataset.count(), 1))}))._fit(dataset)
+
+
+def logistic(c: float = 1.0, max_iter: int = 100, **params) -> LogisticByRows:
+    out = LogisticByRows(standardization=False, maxIter=max_iter, **params)
+    out.c = c
+    return out
+
+
+def logistic_baseline(text_col: str, stop: Sequence[str] = ()) -> Pipeline:
+    """The hundred most frequent words, as its definition says."""
+    return Pipeline(stages=[*tfidf_stages(text_col, "features", vocab_size=100, stop=stop), logistic(1.0)])
+
+
+def logistic_improved(text_col: str, stop: Sequence[str] = ()) -> Pipeline:
+    """The 5,000 most frequent words and word pairs, as its definition says."""
     stages = tfidf_stages(text_col, "features", n_max=2, vocab_size=5000, sublinear=True, stop=stop)
-    return Pipeline(stages=[*stages, logistic(1.0, n)])
+    return Pipeline(stages=[*stages, logistic(1.0)])
 
 
-def linear_svm(c: float = 1.0, n: int = 1, max_iter: int = 100, **params) -> LinearSVC:
-    return LinearSVC(regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=max_iter, **params)
+def linear_svm(c: float = 1.0, max_iter: int = 100, **params) -> SvmByRows:
+    out = SvmByRows(standardization=False, maxIter=max_iter, **params)
+    out.c = c
+    return out
 
 
 def class_weights(df: DataFrame, label_col: str = "label", out: str = "weight") -> DataFrame:
-    """Balanced weights ``n / (k * n_class)`` as a column."""
-    counts = {r[0]: r[1] for r in df.groupBy(label_col).count().limit(1001).collect()}  # classes
-    total, weight = sum(counts.values()), F
-    for label, n in counts.items():
-        weight = weight.when(F.col(label_col) == F.lit(label), F.lit(total / (len(counts) * n)))
-    return df.withColumn(out, weight.otherwise(F.lit(1.0)))
+    """Balanced weights ``n / (k * n_class)`` as a column, for any number of classes; a null label weighs 1."""
+    counts = df.groupBy(label_col).count()
+    totals = counts.agg(F.sum("count").alias("_total"), F.count("*").alias("_classes"))  # one row
+    weights = counts.crossJoin(F.broadcast(totals)).select(
+        F.col(label_col).alias("_label"), (F.col("_total") / (F.col("_classes") * F.col("count"))).alias(out)
+    )
+    joined = df.join(weights, F.col(label_col) == F.col("_label"), "left").drop("_label")
+    return joined.withColumn(out, F.coalesce(out, F.lit(1.0)))
 
 
 def naive_bayes(kind: str = "complement", alpha: float = 1.0, **params) -> NaiveBayes:
@@ -85,10 +110,10 @@ def kernel_svm_rbf(
     scaler = StandardScaler(inputCol=vector_col, outputCol="_scaled", withMean=True, withStd=True).fit(train)
     scaled = scaler.transform(train)
     spread = scaled.select(F.explode(vector_to_array("_scaled")).alias("x"))
-    row = scaled.agg(F.max(F.size(vector_to_array("_scaled"))).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    row = scaled.agg(F.max(F.size(vector_to_array("_scaled"))).alias("d")).first()
     variance = spread.agg(F.var_pop("x")).first()[0] or 1.0
     rff = RandomFourierFeatures("_scaled", "_rff", size, 1.0 / (row["d"] * variance), seed)
-    svm = linear_svm(c, row["n"], max_iter, featuresCol="_rff").fit(rff.transform(scaled))
+    svm = linear_svm(c, max_iter, featuresCol="_rff").fit(rff.transform(scaled))
     return PipelineModel(stages=[scaler, rff, svm])
 
 

@@ -187,19 +187,18 @@ def overlap_matrix(df: DataFrame, a: str, b: str, exclude: Sequence = ()) -> Dat
     """Percent of all rows in each (a, b) cell, zeros kept.
 
     NULL and ``exclude`` values (an outlier mark, say) have no cells but their
-    rows stay in the denominator.  The grid comes from a pivot (which refuses more
-    than ``spark.sql.pivotMaxValues`` columns), not from a product of the sides.
+    rows stay in the denominator.  The grid is the product of the distinct values of
+    both sides, which is what is asked for; only counts are joined to it.
     """
     known = _present(df, [a, b])
     if exclude:
         known = known.filter(~F.col(a).isin(*exclude) & ~F.col(b).isin(*exclude))
-    wide = known.groupBy(a).pivot(b).count().na.fill(0)
-    cells = [c for c in wide.columns if c != a]
-    one = {"_all": F.lit(0)}
-    total = df.agg(F.count(F.lit(1)).alias("_total")).withColumns(one)
+    counts = known.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    grid = counts.select(a).distinct().crossJoin(counts.select(b).distinct())
+    total = df.agg(F.count(F.lit(1)).alias("_total"))  # one row
     return (
-        wide.unpivot([a], cells, b, "n").withColumns(one).join(F.broadcast(total), "_all")
-        .select(a, b, "n", (F.col("n") * 100.0 / F.col("_total")).alias("percent"))
+        grid.join(counts, [a, b], "left").crossJoin(F.broadcast(total))
+        .select(a, b, F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) * 100.0 / F.col("_total")).alias("percent"))
     )
 
 

@@ -298,12 +298,15 @@ def dedup_text(spark, d):
 
 
 @query(
-    """SELECT doc_id, 'en' AS outlet FROM documents WHERE lang = 'en'
-    UNION ALL SELECT doc_id, 'fr' FROM documents WHERE lang = 'fr'"""
+    """SELECT doc_id, lang AS outlet FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')
+    UNION ALL SELECT doc_id, 'other' FROM documents WHERE lang IS NULL OR lang NOT IN ('en', 'fr', 'de', 'es')"""
 )
 def stack_sources(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    return src.stack_sources({n: docs.filter(F.col("lang") == n).drop("lang") for n in ("en", "fr")})
+    named = ("en", "fr", "de", "es")
+    sources = {n: docs.filter(F.col("lang") == n).drop("lang") for n in named}
+    sources["other"] = docs.filter(F.col("lang").isNull() | ~F.col("lang").isin(*named)).drop("lang")
+    return src.stack_sources(sources)
 
 
 def _category_sets(spark, d):

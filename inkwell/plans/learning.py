@@ -115,14 +115,15 @@ def _score(pipeline: Pipeline, spark, d) -> DataFrame:
     return ev.predict_table(pipeline.fit(train), test, "doc_id", ["label"])
 
 
-def _word_view(size: int = 1000, **options) -> list:
-    return ft.tfidf_stages("text_clean", "features", vocab_size=size, sublinear=True, **options)
+def _word_view(**options) -> list:
+    """Words in two documents or more, without those in nearly all."""
+    return ft.tfidf_stages("text_clean", "features", min_df=2, max_df=0.95, sublinear=True, **options)
 
 
 @query()
 def feature_union(spark, d):
     df = _labelled(spark, d)
-    union = ft.feature_union(500, 500).fit(df).transform(df)
+    union = ft.feature_union().fit(_parts(df)[0]).transform(df)
     parts = F.unwrap_udt("features")
     return union.select("doc_id", parts["size"].alias("size"), F.size(parts["values"]).alias("filled"))
 
@@ -158,25 +159,21 @@ def fuse_features(spark, d):
 # ---- models ----------------------------------------------------------------
 
 
-def _rows(spark, d) -> int:
-    return table(spark, d, "documents").count()
-
-
 @query()
 def logistic_baseline(spark, d):
-    return _score(md.logistic_baseline("text_clean", _rows(spark, d), STOP), spark, d)
+    return _score(md.logistic_baseline("text_clean", STOP), spark, d)
 
 
 @query()
 def logistic_improved(spark, d):
-    return _score(md.logistic_improved("text_clean", _rows(spark, d)), spark, d)
+    return _score(md.logistic_improved("text_clean", STOP), spark, d)
 
 
 @query()
 def linear_svm(spark, d):
     """Class-balanced weights."""
     train, test = _parts(_labelled(spark, d))
-    svm = md.linear_svm(1.0, train.count(), 20, weightCol="weight")
+    svm = md.linear_svm(1.0, weightCol="weight")
     model = Pipeline(stages=[*_word_view(), svm]).fit(md.class_weights(train))
     return ev.predict_table(model, test, "doc_id", ["label"])
 
@@ -190,7 +187,7 @@ def naive_bayes(spark, d):
 def tree_ensembles(spark, d):
     """Random forest and boosted trees on SVD-reduced text, side by side."""
     df = _labelled(spark, d)
-    weighted = Pipeline(stages=_word_view(500)).fit(_parts(df)[0]).transform(df).select("doc_id", "label", "split", "features")
+    weighted = Pipeline(stages=_word_view()).fit(_parts(df)[0]).transform(df).select("doc_id", "label", "split", "features")
     projection, _ = ft.svd_projection(_parts(weighted)[0], "features", 20, "low")
     train, test = _parts(written(projection.transform(weighted).drop("features"), "low"))
     forest = md.random_forest(20, 0, featuresCol="low").fit(train)
@@ -208,27 +205,26 @@ def kernel_svm_rbf(spark, d):
     return ev.predict_table(model, _parts(split)[1], "vec_id", ["label"])
 
 
-def _folded(spark, d, size: int, k: int) -> DataFrame:
+def _folded(spark, d, k: int) -> DataFrame:
     """Word features with a stratified fold, as a table that fits are run on."""
     df = _labelled(spark, d)
-    features = Pipeline(stages=_word_view(size)).fit(_parts(df)[0]).transform(df)
+    features = Pipeline(stages=_word_view()).fit(_parts(df)[0]).transform(df)
     narrow = features.select("doc_id", "label", "split", "outlet", "features")
     return written(sp.repeated_folds(narrow, "outlet", "doc_id", k, 1, 3).drop("outlet"), "folds")
 
 
 @query()
 def calibrate_scores(spark, d):
-    train, test = _parts(_folded(spark, d, 300, 2))
-    svm = md.linear_svm(1.0, train.count(), 10)
-    out = md.calibrate_scores(train, test.select("doc_id", "label", "features"), svm, "fold_0", 2)
+    train, test = _parts(_folded(spark, d, 3))
+    out = md.calibrate_scores(train, test.select("doc_id", "label", "features"), md.linear_svm(1.0), "fold_0", 3)
     return out.select("doc_id", "label", "probability", "prediction")
 
 
 @query()
 def stack_models(spark, d):
-    train, test = _parts(_folded(spark, d, 300, 2))
-    bases = {"svm": md.linear_svm(1.0, train.count(), 10), "bayes": md.naive_bayes("multinomial")}
-    out = md.stack_models(train, test.select("doc_id", "label", "features"), bases, "doc_id", "fold_0", 2)
+    train, test = _parts(_folded(spark, d, 3))
+    bases = {"svm": md.linear_svm(1.0), "logistic": md.logistic(1.0), "bayes": md.naive_bayes("multinomial")}
+    out = md.stack_models(train, test.select("doc_id", "label", "features"), bases, "doc_id", "fold_0", 3)
     return out.select("doc_id", "label", vector_to_array("probability")[1].alias("probability"), "prediction")
 
 
@@ -239,23 +235,21 @@ def grid_search(spark, d):
     df = ft.text_views(rows.withColumn("label", (F.col("outlet") == "A").cast("double")), "title")
     df = written(sp.rolling_slices(df.drop("title"), "ts", "doc_id", 3), "slices")
     # The first prefix is in every training fold, so a vocabulary from it leaks nothing.
-    view = Pipeline(stages=_word_view(300)).fit(df.filter("slice = 0"))
+    view = Pipeline(stages=_word_view()).fit(df.filter("slice = 0"))
     sliced = written(view.transform(df).select("doc_id", "label", "slice", "features"), "features")
-    n = sliced.count()
     folds = md.prefix_folds(sliced, 3)
-    return md.grid_search(folds, lambda c: md.logistic(c["c"], n, 10), md.grid(c=[0.1, 1.0]))
+    return md.grid_search(folds, lambda c: md.logistic(c["c"]), md.grid(c=[0.1, 1.0, 10.0]))
 
 
 @query()
 def random_search(spark, d):
     """Seeded draw from a product grid of text and model settings."""
     train, test = _parts(_labelled(spark, d))
-    n = train.count()
-    configs = md.grid(vocab=[100, 300], n_max=[1, 2], c=[0.1, 1.0])
+    configs = md.grid(min_df=[1, 2], n_max=[1, 2], c=[0.1, 1.0])
 
     def make(config):
-        view = ft.tfidf_stages("text_clean", "features", n_max=config["n_max"], vocab_size=config["vocab"])
-        return Pipeline(stages=[*view, md.logistic(config["c"], n, 10)])
+        view = ft.tfidf_stages("text_clean", "features", n_max=config["n_max"], min_df=config["min_df"])
+        return Pipeline(stages=[*view, md.logistic(config["c"])])
 
     return md.grid_search([(train, test)], make, md.draw_configs(configs, 3, 0))
 
@@ -264,13 +258,12 @@ def random_search(spark, d):
 def ablate(spark, d):
     """Stop words and stemming, with the rest of the pipeline held fixed."""
     df = _labelled(spark, d)
-    n = df.count()
     stemmed = ft.stemmed(df, "text_clean")
     variants = {}
     for name, base, stop in (
         ("plain", df, ()), ("stop words removed", df, STOP), ("stemmed", stemmed, ()), ("stop + stem", stemmed, STOP),
     ):
-        stages = [*_word_view(500, stop=stop), md.logistic(1.0, n, 10)]
+        stages = [*_word_view(stop=stop), md.logistic(1.0)]
         variants[name] = (*_parts(base), Pipeline(stages=stages))
     return md.experiment(variants)
 

@@ -278,8 +278,8 @@ def sample_rows(spark, d):
     return pf.sample_rows(headlines(spark, d).select("doc_id", "outlet", "category"), "doc_id", 3, 42, "category")
 
 
-MONTHLY_SQL = """monthly AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, o_orderstatus AS status, count(*) AS n,
-        avg(o_totalprice) AS price FROM orders WHERE o_totalprice > 400000 GROUP BY 1, 2),
+MONTHLY_SQL = """monthly AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, o_orderstatus || o_orderpriority AS status, count(*) AS n,
+        avg(o_totalprice) AS price FROM orders GROUP BY 1, 2),
     r AS (SELECT status, min(month) AS lo, max(month) AS hi FROM monthly GROUP BY status),
     o AS (SELECT max(lo) AS f, min(hi) AS t FROM r),
     sp AS (SELECT unnest(generate_series(f::TIMESTAMP, t::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month FROM o),
@@ -288,9 +288,9 @@ MONTHLY_SQL = """monthly AS (SELECT date_trunc('month', o_orderdate)::DATE AS mo
 
 
 def _monthly(spark, d):
-    """Dear orders per month: sparse enough to leave empty months."""
-    dear = orders(spark, d).filter("o_totalprice > 400000").withColumnRenamed("o_orderstatus", "status")
-    series = tm.monthly_means(dear, "o_orderdate", "status", ["o_totalprice"]).withColumnRenamed("o_totalprice", "price")
+    """All orders per month, status and priority: fine enough to leave empty months."""
+    rows = orders(spark, d).withColumn("status", F.concat("o_orderstatus", "o_orderpriority"))
+    series = tm.monthly_means(rows, "o_orderdate", "status", ["o_totalprice"]).withColumnRenamed("o_totalprice", "price")
     return tm.calendar_spine(series, "status", ["n", "price"])
 
 

@@ -33,20 +33,21 @@ def stream_dedup_articles(spark, d):
     return _drained(spark, seen.select("url"), "dedup")
 
 
-@query("""WITH w AS (SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2)
-    SELECT window_start::DATE AS day, event_type, n FROM w
-    WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+@query("""SELECT date_trunc('day', ts)::DATE AS day, event_type, count(*) AS n FROM events
+    WHERE event_type IS NOT NULL GROUP BY 1, 2""")
 def stream_volume(spark, d):
     events = _stream(spark, d, "events").withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC"))
     daily = st.stream_volume(events, "ts", "event_type", "1 day", "1 day")
-    drained = _drained(spark, daily, "volume")
+    sink = scratch_path(spark, "volume")
+    st.drain_updates(daily, f"{sink}/out", f"{sink}/state")
+    drained = st.latest(spark.read.parquet(f"{sink}/out"), ["window_start", "event_type"])
     return drained.select(F.to_date("window_start").alias("day"), "event_type", "n")
 
 
 @query()
 def stream_score(spark, d):
     train, _ = _parts(_labelled(spark, d))
-    model = Pipeline(stages=[*_word_view(300), md.naive_bayes("multinomial")]).fit(train)
+    model = Pipeline(stages=[*_word_view(), md.naive_bayes("multinomial")]).fit(train)
     sink = scratch_path(spark, "score")
     docs = _stream(spark, d, "documents").select("doc_id", "text").withColumn("text_clean", tx.clean_strict(F.col("text")))
     rules = {"empty text": is_missing(F.col("text_clean"))}

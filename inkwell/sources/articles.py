@@ -70,11 +70,11 @@ def stack_sources(frames: dict[str, DataFrame], tag: str = "outlet") -> DataFram
     return union_batches([df.withColumn(tag, F.lit(name)) for name, df in frames.items()])
 
 
-def discover_roles(df: DataFrame, sample: int = 50, threshold: float = 0.5) -> dict[str, str | None]:
+def discover_roles(df: DataFrame, threshold: float = 0.5) -> dict[str, str | None]:
     """Which columns hold headline, URL and label: by name, else by content.
 
-    The content test follows its definition: the share of URL-like values among
-    the first ``sample`` rows, measured for all text columns in one aggregate.
+    The content test is the share of URL-like values in the whole column, measured
+    for all text columns in one aggregate.
     """
     names = {c.lower(): c for c in df.columns}
 
@@ -90,7 +90,7 @@ def discover_roles(df: DataFrame, sample: int = 50, threshold: float = 0.5) -> d
                 F.avg(F.coalesce(looks_like_url(F.col(c)), F.lit(False)).cast("int")).alias(c)
                 for c in text_cols
             ]
-            shares.update(df.select(*text_cols).limit(sample).agg(*tests).first().asDict())
+            shares.update(df.agg(*tests).first().asDict())
         return (shares.get(column) or 0.0) >= threshold
 
     url = named(URL_NAMES, ()) or next((c for c in text_cols if url_like(c)), None)

@@ -23,7 +23,7 @@ def stream_dedup_articles(stream: DataFrame, key_cols: Sequence[str], ts_col: st
 
 
 def stream_volume(stream: DataFrame, ts_col: str, by: str, window: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Closed tumbling windows per group, fit for append mode.
+    """Tumbling windows per group: append mode gives closed ones, update mode every change.
 
     Months are a batch roll-up of the daily sink (a month is no fixed window).
     """
@@ -52,6 +52,28 @@ def drain(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -
     return [p if isinstance(p, dict) else p.jsonValue if hasattr(p, "jsonValue") else p for p in query.recentProgress]
 
 
+def drain_updates(stream: DataFrame, sink: str, checkpoint: str) -> None:
+    """Write every changed row of an aggregating stream into a folder named by its batch.
+
+    Windows that are still open when the input ends are there too, and a replayed
+    batch overwrites its own folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
+def latest(updates: DataFrame, keys: Sequence[str], value: str = "n") -> DataFrame:
+    """The last written value of every key."""
+    return updates.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
 def stream_score(
     stream: DataFrame, model, rules: dict[str, Column], key_col: str, sink: str, rejected_sink: str, checkpoint: str,
 ) -> None:

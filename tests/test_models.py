@@ -39,7 +39,7 @@ def test_tfidf_vector_equals_the_formula(spark):
 @pytest.mark.parametrize(
     "make",
     [
-        lambda: md.logistic(1.0, 80, 20), lambda: md.linear_svm(1.0, 80, 20), lambda: md.naive_bayes("complement"),
+        lambda: md.logistic(1.0, 20), lambda: md.linear_svm(1.0, 20), lambda: md.naive_bayes("complement"),
         lambda: md.naive_bayes("multinomial"), lambda: md.random_forest(10),
     ],
     ids=["logistic", "svm", "complement", "multinomial", "forest"],
@@ -50,7 +50,7 @@ def test_models_beat_the_majority(planted, make):
 
 
 def test_saved_model_predicts_alike(spark, planted):
-    stages = [*ft.feature_union(50, 50).getStages(), md.logistic(1.0, 160, 5)]
+    stages = [*ft.feature_union().getStages(), md.logistic(1.0, 5)]
     model = Pipeline(stages=stages).fit(planted)
     path = scratch_path(spark, "model")
     md.save_model(model, path)
@@ -62,10 +62,10 @@ def test_saved_model_predicts_alike(spark, planted):
 def test_stack_and_calibrate(planted):
     features = Pipeline(stages=word_view()).fit(planted).transform(planted).select("key", "label", "features", "fold_0").cache()
     score = features.select("key", "label", "features")
-    stacked = md.stack_models(features, score, {"svm": md.linear_svm(1.0, 160, 10), "nb": md.naive_bayes("multinomial")}, "key", "fold_0", 2)
+    stacked = md.stack_models(features, score, {"svm": md.linear_svm(1.0, 10), "nb": md.naive_bayes("multinomial")}, "key", "fold_0", 2)
     hit = F.avg((F.col("prediction") == F.col("label")).cast("double"))
     assert stacked.agg(hit).first()[0] > 0.8
-    calibrated = md.calibrate_scores(features, score, md.linear_svm(1.0, 160, 10), "fold_0", 2)
+    calibrated = md.calibrate_scores(features, score, md.linear_svm(1.0, 10), "fold_0", 2)
     row = calibrated.agg(hit.alias("hit"), F.min("probability").alias("lo"), F.max("probability").alias("hi")).first()
     assert row["hit"] > 0.8 and 0 <= row["lo"] <= row["hi"] <= 1
 
@@ -74,7 +74,7 @@ def test_searches(planted):
     folds = md.disjoint_folds(planted, ["fold_0"], 2)
     configs = md.draw_configs(md.grid(size=[5, 50], c=[0.1, 1.0]), 2, 3)
     assert configs == md.draw_configs(md.grid(size=[5, 50], c=[0.1, 1.0]), 2, 3)
-    runs = md.grid_search(folds, lambda c: Pipeline(stages=[*word_view(vocab_size=c["size"]), md.logistic(c["c"], 80, 5)]), configs)
+    runs = md.grid_search(folds, lambda c: Pipeline(stages=[*word_view(vocab_size=c["size"]), md.logistic(c["c"], 5)]), configs)
     assert runs.count() == 2 and all(r["folds"] == 2 for r in runs.collect())
 
 

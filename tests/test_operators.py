@@ -171,4 +171,4 @@ def test_overlap_counts_outliers_and_nulls_in_the_total_only(spark):
     rows = [(0, 0), (0, 0), (0, 1), (1, 1), (-1, 0), (-1, -1), (None, 1), (1, None)]
     cells = pf.overlap_matrix(spark.createDataFrame(rows, "a int, b int"), "a", "b", exclude=[-1]).collect()
     got = {(r["a"], r["b"]): r["percent"] for r in cells}
-    assert got == {(0, "0"): 25.0, (0, "1"): 12.5, (1, "0"): 0.0, (1, "1"): 12.5}
+    assert got == {(0, 0): 25.0, (0, 1): 12.5, (1, 0): 0.0, (1, 1): 12.5}
