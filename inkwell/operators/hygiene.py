@@ -104,7 +104,7 @@ def attach_topics(articles: DataFrame, topics: DataFrame, on: str, assert_unique
 
 
 def decode(df: DataFrame, col: str, mapping: DataFrame, key: str, label: str, out: str) -> DataFrame:
-    """Replace codes by labels from a mapping table (planned as a broadcast when small)."""
+    """Replace codes by labels from a mapping table."""
     names = mapping.select(F.col(key).alias("_code"), F.col(label).alias(out))
     return df.join(names, df[col] == F.col("_code"), "left").drop("_code")
 

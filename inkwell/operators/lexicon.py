@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from inkwell.functions.text import words
 from inkwell.operators.profile import value_share
 from inkwell.operators.terms import ngrams
+from inkwell.session import written
 
 # Normalisation constant of the compound score, entity types.
 COMPOUND_ALPHA = 15
@@ -32,21 +33,22 @@ def bare_words(text: Column) -> Column:
 def lexicon_sentiment(df: DataFrame, key_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
     """``(key, compound, neg, pos, neu)``; ``lexicon`` is ``(token, valence)``.
 
-    Words are counted per row before the join, and rows without any listed word
-    keep zero scores.
+    Only listed words leave their row: the lexicon is met before anything is
+    grouped, and its written size lets Catalyst broadcast it.  All other words count
+    as neutral, so rows without any listed word keep zero scores.
     """
-    counts = (
-        df.select(key_col, F.explode_outer(bare_words(F.lower(F.col(text_col)))).alias("token"))
-        .groupBy(key_col, "token").agg(F.count("token").alias("n"))
-    )
-    scored = counts.join(lexicon, "token", "left")
-    v, n = F.coalesce(F.col("valence"), F.lit(0.0)), F.col("n")
-    sums = scored.groupBy(key_col).agg(
-        F.sum(v * n).alias("_s"),
-        F.sum(F.when(v > 0, (v + 1) * n).otherwise(0.0)).alias("_pos"),
-        F.sum(F.when(v < 0, (1 - v) * n).otherwise(0.0)).alias("_neg"),
-        F.sum(F.when(v == 0, n).otherwise(0)).alias("_neu"),
+    tokens = df.select(key_col, bare_words(F.lower(F.col(text_col))).alias("_tokens"))
+    totals = tokens.groupBy(key_col).agg(F.sum(F.size("_tokens")).alias("_n"))
+    listed = tokens.select(key_col, F.explode("_tokens").alias("token")).join(written(lexicon, "lexicon"), "token")
+    v = F.col("valence")
+    hits = listed.groupBy(key_col).agg(
+        F.sum(v).alias("_s"),
+        F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("_pos"),
+        F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("_neg"),
+        F.count(F.when(v != 0, 1)).alias("_marked"),
     )
+    sums = totals.join(hits, key_col, "left").na.fill(0, ["_s", "_pos", "_neg", "_marked"])
+    sums = sums.withColumn("_neu", F.col("_n") - F.col("_marked"))
     total = F.nullif(F.col("_pos") + F.col("_neg") + F.col("_neu"), F.lit(0.0))
     part = lambda c: F.coalesce(F.col(c) / total, F.lit(0.0))
     return sums.select(
@@ -62,18 +64,15 @@ def entity_counts(df: DataFrame, key_col: str, text_col: str, gazetteer: DataFra
     ``gazetteer`` is ``(phrase, type)``.  Every listed phrase of up to
     ``max_words`` words counts, also inside a longer one.
     """
-    grams = ngrams(bare_words(F.col(text_col)), 1, max_words)
-    counts = (
-        df.select(key_col, F.explode_outer(grams).alias("phrase"))
-        .groupBy(key_col, "phrase").agg(F.count("phrase").alias("n"))
-    )
-    tagged = counts.join(gazetteer, "phrase", "left")
-    of = lambda t: F.sum(F.when(F.col("type") == t, F.col("n")).otherwise(0))
+    grams = df.select(key_col, ngrams(bare_words(F.col(text_col)), 1, max_words).alias("_grams"))
+    # only listed phrases leave their row
+    tagged = grams.select(key_col, F.explode("_grams").alias("phrase")).join(written(gazetteer, "gazetteer"), "phrase")
     names = [f"{t.lower()}_count" for t in ENTITY_TYPES]
-    found = tagged.groupBy(key_col).agg(
-        *[of(t).alias(c) for t, c in zip(ENTITY_TYPES, names)],
-        F.sum(F.when(F.col("type").isNotNull(), F.col("n")).otherwise(0)).alias("total_ents"),
+    hits = tagged.groupBy(key_col).agg(
+        *[F.count(F.when(F.col("type") == t, 1)).alias(c) for t, c in zip(ENTITY_TYPES, names)],
+        F.count("type").alias("total_ents"),
     )
+    found = df.select(key_col).distinct().join(hits, key_col, "left").na.fill(0, [*names, "total_ents"])
     at_least_one = F.greatest(F.col("total_ents"), F.lit(1))
     return found.withColumns(
         {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from inkwell.functions.text import is_missing
 from inkwell.functions.urls import page_kind
@@ -165,8 +165,11 @@ def select_features(effects: DataFrame, min_d: float = 0.35, n: int | None = Non
 
 
 def n_distinct(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    return df.agg(*[count(F.col(c)).alias(c) for c in cols])
+    """Distinct values per column; texts are counted by their 128-bit digests, so no text is shuffled."""
+    if approximate:
+        return df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols])
+    digest = {f.name: F.unhex(F.md5(F.col(f.name))) for f in df.schema if isinstance(f.dataType, T.StringType)}
+    return df.agg(*[F.count_distinct(digest.get(c, F.col(c))).alias(c) for c in cols])
 
 
 def share_divergence(df: DataFrame, col: str, by: str, a: str, b: str, k: int | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ def in_event_window(df: DataFrame, events: DataFrame, ts_col: str, days: int = 1
 
     ``events``: ``(event, event_ts)``.  The interval join is an equi-join on the
     day with an exact residual test, so it hashes instead of comparing all pairs;
-    a few events are planned as a broadcast from their known size.
+    Catalyst broadcasts the events where their size is known to be small.
     """
     return (
         df.withColumn("_day", F.to_date(ts_col))

@@ -147,13 +147,19 @@ def reduce(spark, d):
 
 @query()
 def fuse_features(spark, d):
+    """Style and embedding side by side; documents without a vector are listed with size 0."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    docs = headlines(spark, d).join(vectors.select("doc_id"), "doc_id", "left_semi")
-    style = tx.with_features(docs.select("doc_id", "title"), "title", tx.style_features_16).drop("title")
-    known = vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
+    docs = headlines(spark, d).select("doc_id", "title")
+    style = tx.with_features(docs, "title", tx.style_features_16).drop("title")
     names = [c for c in style.columns if c != "doc_id"]
-    fused = ft.fuse_features(style, known, "doc_id", names, "embedding")
-    return fused.select("doc_id", F.size(vector_to_array("features")).alias("size"), F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    matched = style.join(vectors.select("doc_id"), "doc_id", "left_semi")
+    fused = ft.fuse_features(matched, vectors, "doc_id", names, "embedding")
+    values = vector_to_array("features")
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    rest = docs.join(vectors.select("doc_id"), "doc_id", "left_anti")
+    return fused.select("doc_id", F.size(values).alias("size"), total.alias("total")).union(
+        rest.select("doc_id", F.lit(0), F.lit(0.0))
+    )
 
 
 # ---- models ----------------------------------------------------------------
