@@ -17,11 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when the application ends."""
-    path = scratch_path(spark, label)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
+    return scratch_path(spark, label)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

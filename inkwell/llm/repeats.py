@@ -28,25 +28,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkwell.llm.blocks import Blocks, unpack
 from inkwell.llm.common import stored, table
-from inkwell.llm.shingles import mixed
+from inkwell.llm.shingles import mixed, steps_of
 from inkwell.llm.tokens import string_buffers
 
 LENGTH = 400
 GRAM = 16
 #: Bytes of pieces that are indexed together, and different pieces of a core beyond which windows are grouped.
 INDEX_BYTES, MANY = 1 << 20, 1000
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        steps = np.full(max(n, STEP_BYTES + 1), base, np.uint64)
         steps[0] = 1
-        _powers[base] = np.multiply.accumulate(steps)
-    return _powers[base][:n]
+        held = np.multiply.accumulate(steps)
+        if n <= STEP_BYTES + 1:
+            _powers[base] = held
+    return held[:n]
 
 
 class Substrings:
@@ -148,32 +151,31 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     # eight bytes, and after them how many of them are in the text, so that an end sorts first
     key = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
     room = np.minimum(n - np.arange(n), 8)
-    order = np.lexsort((room, key)) if n < 8 or not text.all() else np.argsort(key, kind="stable")
+    order = np.lexsort((room, key)) if n < 8 or not text.all() else np.argsort(key)
     sorted_key, sorted_room = key[order], room[order]
     new = np.ones(n, bool)
     new[1:] = (sorted_key[1:] != sorted_key[:-1]) | (sorted_room[1:] != sorted_room[:-1])
-    group = np.flatnonzero(new)[np.cumsum(new) - 1]  # the first place of the equals
+    heads = np.flatnonzero(new)
+    sizes = np.diff(np.append(heads, n))
     rank = np.empty(n, np.int64)
-    rank[order] = group
-    width = 8
-    while True:
-        size = np.diff(np.append(np.flatnonzero(new), n))
-        tied = np.repeat(size > 1, size)
-        if not tied.any():
-            return order
-        place = np.flatnonzero(tied)
-        own = order[place]
+    rank[order] = np.repeat(heads, sizes)  # the first place of the equals
+    place = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    own, width = order[place], 8
+    while len(place):  # only what is still equal is sorted again
         ahead = own + width
         second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         both = (rank[own].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
-        by = np.argsort(both, kind="stable")
-        order[place] = own[by]
-        both = both[by]
-        new[place[0]] = True
-        new[place[1:]] = both[1:] != both[:-1]
-        group = np.flatnonzero(new)[np.cumsum(new) - 1]
-        rank[order[place]] = group[place]
-        width *= 2
+        by = np.argsort(both)
+        own, both = own[by], both[by]
+        order[place] = own
+        new = np.ones(len(own), bool)
+        new[1:] = both[1:] != both[:-1]
+        heads = np.flatnonzero(new)
+        sizes = np.diff(np.append(heads, len(own)))
+        rank[own] = np.repeat(place[heads], sizes)
+        tied = np.repeat(sizes > 1, sizes)
+        place, own, width = place[tied], own[tied], 2 * width
+    return order
 
 
 def repeated_starts(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -202,9 +204,7 @@ def _all_pieces(blocks: Blocks, column: int, length: int) -> DataFrame:
     def find(block, batches):
         for seq, data in batches:
             raw, at = string_buffers(unpack(data).column(column))
-            row = 0
-            while row < len(at) - 1:
-                stop = max(row + 1, int(np.searchsorted(at, at[row] + STEP_BYTES, "right")) - 1)
+            for row, stop in steps_of(at, STEP_BYTES):
                 text, start, n, core, piece = pieces(raw[at[row] : at[stop]], at[row : stop + 1] - at[row], length)
                 m = len(text)
                 if m:
@@ -213,7 +213,6 @@ def _all_pieces(blocks: Blocks, column: int, length: int) -> DataFrame:
                          pa.array(text + row, pa.int32()), pa.array(start, pa.int32()), pa.array(n, pa.int32())],
                         ["core", "piece", "block", "seq", "row", "start", "n"],
                     )
-                row = stop
 
     return blocks.arrow_frame(blocks.each(find), PIECES)
 
