@@ -172,10 +172,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = with_base_spans(docs, text_col).withColumn("_key", F.xxhash64("_text"))
     added = discovered(rows.select(F.col(id_col).alias("id"), F.col("_key").alias("key"), "_text", "_base"))
-    by_row = added.groupBy("id", "key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_added"))
+    by_row = added.groupBy(F.col("id").alias("_id"), F.col("key").alias("_text_key")).agg(F.collect_set(F.struct("kind", "start", "end")).alias("_added"))
     joined = rows.join(
-        stored(by_row, "added-spans"), F.col(id_col).eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key")), "left"
-    ).drop("id", "key", "_key")
+        stored(by_row, "added-spans"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key")), "left"
+    ).drop("_id", "_text_key", "_key")
     bare = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     ordered = F.transform(
         F.sort_array(
