@@ -11,6 +11,7 @@ from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from inkwell.llm.shingles import mixed
+from inkwell.llm.tokens import sliced
 
 #: Bytes of text that a block is meant to hold.
 BLOCK_BYTES = 32 << 20
@@ -52,7 +53,7 @@ class Blocks:
         def packed(column: int, numbered: bool):
             def pack_rows(batches):
                 seq = TaskContext.get().partitionId() << 32 if numbered else -1
-                for batch in batches:
+                for batch in sliced(batches, 4096):
                     for block, part in dealt(batch, column):
                         seq += numbered
                         yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([seq]), pa.array([pack(part)], pa.binary())], ["block", "seq", "data"])

@@ -14,6 +14,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+#: Bytes of text that are hashed at a time; a longer text is one step.
+STEP_BYTES = 1 << 19
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -26,18 +28,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1), modulo 2 ** 64."""
-    held = _powers.get(base, np.zeros(0, np.uint64))
-    if len(held) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
+    """base ** 0 ... base ** (n - 1), modulo 2 ** 64; kept for steps of usual size."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        steps = np.full(max(n, STEP_BYTES), base, np.uint64)
         steps[0] = 1
-        held = _powers[base] = np.multiply.accumulate(steps)
+        held = np.multiply.accumulate(steps)
+        if n <= STEP_BYTES:
+            _powers[base] = held
     return held[:n]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z as a-z, and the number of words before each text."""
-    raw, at = string_buffers(texts)
+def steps_of(at: np.ndarray, size: int):
+    """(first, last) rows of consecutive steps of at most ``size`` bytes, one row at least."""
+    row = 0
+    while row < len(at) - 1:
+        stop = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
+        yield row, stop
+        row = stop
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of texts raw[at[i] : at[i + 1]], A-Z as a-z, and the number of words before each."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
@@ -61,7 +73,14 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     A text with fewer words than ``width`` has its whole sequence as one shingle, a
     text without words (or null) none.
     """
-    words, at = word_hashes(texts)
+    raw, at = string_buffers(texts)
+    out = []
+    for row, stop in steps_of(at, STEP_BYTES):
+        out += _sets(*word_hashes(raw[at[row] : at[stop]], at[row : stop + 1] - at[row]), width)
+    return out
+
+
+def _sets(words: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
     total = np.zeros(max(len(words) - width + 1, 0), np.uint64)
     for k in range(width):
         total = total + words[k : k + len(total)] * np.uint64(2 * k + 0x2545F4914F6CDD1D)

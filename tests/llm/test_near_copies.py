@@ -55,7 +55,7 @@ def test_signatures_bound_the_overlap():
 
 
 def test_join_equals_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SLICE_COUNT", 3)
+    monkeypatch.setattr(ngram_join, "COUNTERS", 1 << 8)
     rnd = random.Random(5)
     vocabulary = [f"w{i}" for i in range(4000)]
     passage = rnd.choices(vocabulary, k=30)
