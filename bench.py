@@ -24,7 +24,7 @@ HEADLINE = (
     "temporal_split", "rolling_folds", "stratified_split", "event_shift", "topic_mix_by_month",
     "calendar_spine", "spearman_trend", "lexicon_sentiment", "entity_counts", "tfidf",
     "distinctive_terms", "char_wb_ngrams", "page_fields", "jsonld_entities", "class_report",
-    "logistic_baseline", "topics_from_vectors",
+    "logistic_baseline", "topics_from_vectors", "n_distinct", "resolve_fields", "overlap_matrix",
 )
 
 
