@@ -55,22 +55,30 @@ def line_fault(line: Column, symbols: Column) -> Column:
     )
 
 
+def step(docs: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a column that stays a step of its own.
+
+    The condition is always true, but not deterministic to Catalyst: it neither merges
+    the step into a lambda, which would run it again for every element, nor moves a
+    later filter below it, nor derives constraints, whose number doubles with every step.
+    """
+    return docs.withColumn(name, F.when(F.monotonically_increasing_id() >= 0, column))
+
+
 def repeated_words(docs: DataFrame) -> DataFrame:
     """Add n_repeat_words for a column ``_words``: words in windows of eight that occur twice or more.
 
     Windows are compared by hash; only where two are equal are they sorted, by hash and place.
     """
-    # the steps are columns that the next step names more than once, so that Catalyst keeps them
-    # apart; merged into a lambda, a step would run again for every element
     last = F.size("_hash") - WINDOW
-    docs = docs.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
-    docs = docs.withColumn(
-        "_windows",
+    docs = step(docs, "_hash", F.transform("_words", lambda w: F.xxhash64(w)))
+    docs = step(
+        docs, "_windows",
         F.when(last < 0, F.array().cast("array<bigint>"))
         .otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*(F.get("_hash", i + k) for k in range(WINDOW))))),
     )
-    docs = docs.withColumn(
-        "_sorted",
+    docs = step(
+        docs, "_sorted",
         F.when(
             F.size(F.array_distinct("_windows")) < F.size("_windows"),
             F.sort_array(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
@@ -82,10 +90,10 @@ def repeated_words(docs: DataFrame) -> DataFrame:
         after = F.get("_sorted", j + 1)["h"]
         return F.coalesce(before == item["h"], F.lit(False)) | F.coalesce(after == item["h"], F.lit(False))
 
-    docs = docs.withColumn("_places", F.sort_array(F.transform(F.filter("_sorted", again), lambda item: item["i"])))
+    docs = step(docs, "_places", F.sort_array(F.transform(F.filter("_sorted", again), lambda item: item["i"])))
     reach = F.transform("_places", lambda p, j: F.least(F.coalesce(F.get("_places", j + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
     covered = F.aggregate(reach, F.lit(0).cast("long"), lambda total, n: total + n)
-    return docs.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_hash", "_windows", "_sorted", "_places")
+    return step(docs, "n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_hash", "_windows", "_sorted", "_places")
 
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,31 +104,32 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     blank = F.lit("")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), blank).alias("_text"))
-    rows = rows.withColumn("_words", words_of(F.col("_text")))
+    rows = step(rows, "_words", words_of(F.col("_text")))
     rows = repeated_words(rows)
     letters = F.aggregate("_words", F.lit(0).cast("long"), lambda total, w: total + F.char_length(w))
-    rows = rows.withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", letters).drop("_words")
-    rows = rows.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike("[^" + SPACE_CLASS[1:])))
-    rows = rows.withColumn("_counted", F.transform("_lines", lambda x: F.struct(x.alias("line"), n_symbols(x).alias("symbols"))))
-    rows = rows.withColumn(
-        "_judged",
+    rows = step(step(rows, "n_words", F.size("_words").cast("long")), "word_chars", letters).drop("_words")
+    rows = step(rows, "_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike("[^" + SPACE_CLASS[1:])))
+    rows = step(rows, "_counted", F.transform("_lines", lambda x: F.struct(x.alias("line"), n_symbols(x).alias("symbols"))))
+    rows = step(
+        rows, "_judged",
         F.transform("_counted", lambda x: F.struct(x["line"].alias("line"), line_fault(x["line"], x["symbols"]).alias("fault"))),
     )
     good = F.transform(F.filter("_judged", lambda x: x["fault"].isNull()), lambda x: x["line"])
-    rows = rows.withColumn("_good", F.array_distinct(good))
+    rows = step(rows, "_good", F.array_distinct(good))
 
     def chars(lines: str) -> Column:
         return F.aggregate(lines, F.lit(0).cast("long"), lambda total, x: total + F.char_length(x))
 
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return rows.select(
+    rows = rows.select(
         "doc_id", F.array_join("_good", "\n").alias("clean_text"), "n_words", "word_chars",
         F.aggregate("_counted", F.lit(0).cast("long"), lambda total, x: total + x["symbols"]).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         chars("_lines").alias("line_chars"), chars("_good").alias("clean_chars"),
         F.filter(F.transform("_judged", lambda x: x["fault"]), lambda x: x.isNotNull()).alias("faults"),
         base_failed.alias("base_failed"),
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("line_chars") - F.col("clean_chars") <= MOST_LOST * F.col("line_chars")))
+    )
+    return step(rows, "kept", ~F.col("base_failed") & (F.col("line_chars") - F.col("clean_chars") <= MOST_LOST * F.col("line_chars")))
 
 
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
