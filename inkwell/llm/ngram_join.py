@@ -3,19 +3,21 @@
 Texts with equal sets collapse to one representative first.  A tile holds the
 representatives that share a rare shingle, in bands of size: with the shingles of
 every set in one common order, two sets of similarity t or more share one of
-their first n - ceil(t n) + 1.  The order puts the most frequent shingles last, so
-a passage that many texts share makes no tile.  Within a tile only neighbours by
+their first n - ceil(t n) + 1.  The order puts frequent shingles last, as a table
+of counters estimates them, so a passage that many texts share makes no tile.  Within a tile only neighbours by
 size are compared at first; what they link is one component, and only pairs of
-different components that share a tile are compared after that.  A pair is first
+different components that share a tile are compared after that, if what follows
+the shared shingle in the order can still make up the overlap.  A pair is first
 bounded by its bitmap signatures: bits of one that the other lacks stand for
 shingles it lacks.  Pairs that pass are decided by intersecting the sorted sets.
-No pair above the threshold is lost: frequent shingles only change the order.
+No pair above the threshold is lost: the estimates only change the order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from inkwell.llm.common import components, stored, table
@@ -24,10 +26,8 @@ from inkwell.llm.tokens import sliced
 
 #: Similarity as a ratio of whole numbers.
 SIMILAR = (75, 100)
-#: Frequent shingles whose order is known to every task: a fixed bound, 512 kB.
-FREQUENT = 1 << 16
-#: A shingle counts as frequent in a slice of 1024 texts from so many texts on.
-SLICE_COUNT = 4
+#: Counters that estimate in how many texts a shingle is: 16 MB, whatever the size of the corpus.
+COUNTERS = 1 << 22
 
 
 def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
@@ -60,37 +60,45 @@ def is_similar(shared: int, n_a: int, n_b: int, similar: tuple[int, int] = SIMIL
 
 
 def _profile(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (id, n, f1, f2) of every text, and rows (null, count, shingle, null) of frequent shingles."""
+    """Rows (id, n, f1, f2) of every text, and a row with the counters of every task."""
 
     def profile(batches):
+        counters = np.zeros(COUNTERS, np.uint32)
+        names = ["is_text", "id", "n", "f1", "f2", "counters"]
         for batch in sliced(batches):
             sets = shingle_sets(batch.column(1), width)
             prints = [fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.ones(len(sets), bool)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())],
-                ["is_text", "id", "n", "f1", "f2"],
+                 pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.nulls(len(sets), pa.binary())], names,
             )
-            keys, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            often = counts >= SLICE_COUNT
-            n = int(often.sum())
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(n, bool)), pa.nulls(n, pa.int64()), pa.array(counts[often], pa.int64()),
-                     pa.array(keys[often].view(np.int64)), pa.nulls(n, pa.int64())],
-                    ["is_text", "id", "n", "f1", "f2"],
-                )
+            cells = np.concatenate([np.zeros(0, np.uint64), *sets]) & np.uint64(COUNTERS - 1)
+            cells, times = np.unique(cells, return_counts=True)
+            counters[cells.astype(np.int64)] += times.astype(np.uint32)
+        packed = zstandard.ZstdCompressor(level=1).compress(counters.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([False]), *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([packed], pa.binary())], names)
+
+    return docs.mapInArrow(profile, "is_text boolean, id long, n long, f1 long, f2 long, counters binary")
+
+
+def _counters(profile: DataFrame) -> np.ndarray:
+    """The counters of all tasks, added up in a tree; no task and not the driver holds more than two."""
+
+    def add(a: bytes, b: bytes) -> bytes:
+        x, y = (np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.uint32) for c in (a, b))
+        return zstandard.ZstdCompressor(level=1).compress((x + y).tobytes())
 
-    return docs.mapInArrow(profile, "is_text boolean, id long, n long, f1 long, f2 long")
+    rows = profile.where("NOT is_text").select("counters").rdd.map(lambda r: bytes(r[0]))
+    none = zstandard.ZstdCompressor(level=1).compress(np.zeros(COUNTERS, np.uint32).tobytes())
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(rows.treeAggregate(none, add, add, 3)), np.uint32)
 
 
-def _postings(docs: DataFrame, width: int, frequent: np.ndarray, similar: tuple[int, int]) -> DataFrame:
-    """Rows (key, id, n, null) of each text's first shingles in the common order, and one (null, id, n, signature)."""
-    rank = np.argsort(frequent)  # of the sorted keys: 0 is the most frequent
-    frequent_bc = docs.sparkSession.sparkContext.broadcast((frequent[rank], rank))
+def _postings(docs: DataFrame, width: int, counters: np.ndarray, similar: tuple[int, int]) -> DataFrame:
+    """Rows (key, id, n, place, null) of each text's first shingles in the common order, and one (null, id, n, null, signature)."""
+    known = docs.sparkSession.sparkContext.broadcast(counters)
 
     def post(batches):
-        known, order = frequent_bc.value
+        counted = known.value
         for batch in sliced(batches):
             sets = shingle_sets(batch.column(1), width)
             ids = np.asarray(batch.column(0))
@@ -98,34 +106,32 @@ def _postings(docs: DataFrame, width: int, frequent: np.ndarray, similar: tuple[
             for s in sets:
                 n = len(s)
                 first = n - -(-similar[0] * n // similar[1]) + 1 if n else 0
-                if first and len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = known[at] == s
-                    if often.any():  # frequent ones last, the most frequent at the very end
-                        late = s[often][np.argsort(-order[at[often]])]
-                        s = np.concatenate([s[~often], late])
-                keys.append(s[:first])
+                # rare ones first; of equally frequent ones those with the smaller hash
+                frequent = np.minimum(counted[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64)
+                order = np.argsort((frequent << np.uint64(40)) | (s >> np.uint64(24)), kind="stable")
+                keys.append(s[order[:first]])
             counts = np.array([len(k) for k in keys], np.int64)
             sizes = np.array([len(s) for s in sets], np.int64)
             total = int(counts.sum())
-            names = ["key", "id", "n", "signature"]
+            names = ["key", "id", "n", "place", "signature"]
             if total:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, counts)),
-                     pa.array(np.repeat(sizes, counts)), pa.nulls(total, pa.binary())], names,
+                     pa.array(np.repeat(sizes, counts)), pa.array(np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)),
+                     pa.nulls(total, pa.binary())], names,
                 )
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(ids), pa.int64()), pa.array(ids), pa.array(sizes), pa.array([signature(s) for s in sets], pa.binary())], names,
+                [pa.nulls(len(ids), pa.int64()), pa.array(ids), pa.array(sizes), pa.nulls(len(ids), pa.int64()), pa.array([signature(s) for s in sets], pa.binary())], names,
             )
 
-    return docs.mapInArrow(post, "key long, id long, n long, signature binary")
+    return docs.mapInArrow(post, "key long, id long, n long, place long, signature binary")
 
 
 def _bounded(pairs: DataFrame, signatures: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose signatures allow the similarity."""
 
     def bound(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             x = batch.to_pydict()
             ok = [
                 is_similar(overlap_bound(sa, na, sb, nb), na, nb, similar)
@@ -164,24 +170,19 @@ def similar_texts(
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = stored(_profile(docs, width), "profile")
-    texts = profile.where("is_text").drop("is_text")
+    texts = profile.where("is_text").drop("is_text", "counters")
     members = texts.where("n > 0 AND id IS NOT NULL")
     classes = members.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-    copies = stored(
-        members.join(classes, ["f1", "f2", "n"]).where("id <> rep").select("id", "rep").distinct(), "copies"
-    )
-    frequent = (
-        profile.where("NOT is_text").groupBy("f1").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "f1").limit(FREQUENT).select("f1").collect()
-    )
-    order = np.array([r[0] for r in frequent], np.int64).view(np.uint64)
+    repeated = stored(members.groupBy("id").agg(F.count("*").alias("m")).where("m > 1").select("id"), "repeated-ids")
+    copies = members.join(classes, ["f1", "f2", "n"]).where("id <> rep").select("id", "rep")
+    copies = stored(copies.join(repeated, "id", "left_anti"), "copies")
     originals = docs.where("id IS NOT NULL").join(copies.select("id"), "id", "left_anti")
-    posted = stored(_postings(originals, width, order, similar), "postings")
-    signatures = posted.where("key IS NULL AND n > 0").drop("key")
+    posted = stored(_postings(originals, width, _counters(profile), similar), "postings")
+    signatures = posted.where("key IS NULL AND n > 0").drop("key", "place")
 
     by_key = Window.partitionBy("key")
     tiles = stored(
-        posted.where("key IS NOT NULL").select("key", "id", "n").withColumn("many", F.count("*").over(by_key)).where("many > 1").drop("many"),
+        posted.where("key IS NOT NULL").select("key", "id", "n", "place").withColumn("many", F.count("*").over(by_key)).where("many > 1").drop("many"),
         "tiles",
     )
     texts_of = stored(originals.join(tiles.select("id").distinct(), "id", "left_semi"), "candidates")
@@ -202,22 +203,36 @@ def similar_texts(
     labelled = tiles.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
     open_tiles = stored(
         labelled.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key))
-        .where("low <> high").select("key", "id", "n", "label"),
+        .where("low <> high").select("key", "id", "n", "place", "label"),
         "open-tiles",
     )
-    left = open_tiles.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = open_tiles.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    left = open_tiles.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
+    right = open_tiles.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
     pairs = (
         left.join(right, "key").where("la <> lb")
         .where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-        .where(F.col("na") * similar[1] >= F.col("nb") * similar[0]).select("a", "b").distinct()
+        .where(F.col("na") * similar[1] >= F.col("nb") * similar[0])
+        # exact where the key is the first that both share, so some tile of a similar pair passes
+        .where((similar[0] + similar[1]) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= similar[0] * (F.col("na") + F.col("nb")))
+        .select("a", "b").distinct()
     )
     more = links_among(stored(pairs, "pairs"), "more-links")
-    links = found.union(more).union(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    groups = stored(components(links), "components")
-    return texts.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(
-        groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
-    ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # components of the first links are single nodes for the second ones, and copies follow their representative
+    groups = stored(groups, "first-groups")
+    label = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    between = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")
+    )
+    merged = stored(components(between).withColumnRenamed("component", "final"), "last-groups")
+    first = merged.withColumnRenamed("node", "component")
+    grouped = groups.join(first, "component", "left").select(F.col("node").alias("rep"), F.coalesce("final", "component").alias("root"))
+    alone = merged.join(groups.select("node"), "node", "left_anti").select(F.col("node").alias("rep"), F.col("final").alias("root"))
+    roots = stored(grouped.union(alone), "components")
+    follows = copies.join(roots, "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("root"))
+    named = roots.select(F.col("rep").alias("doc_id"), "root").union(follows)
+    return texts.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(named, "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")
+    )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
