@@ -11,7 +11,7 @@ from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from inkwell.llm.shingles import mixed
-from inkwell.llm.tokens import sliced
+from inkwell.llm.tokens import release, sliced
 
 #: Bytes of text that a block is meant to hold.
 BLOCK_BYTES = 32 << 20
@@ -52,6 +52,7 @@ class Blocks:
 
         def packed(column: int, numbered: bool):
             def pack_rows(batches):
+                release()
                 seq = TaskContext.get().partitionId() << 32 if numbered else -1
                 for batch in sliced(batches, 4096):
                     for block, part in dealt(batch, column):
@@ -83,6 +84,7 @@ class Blocks:
         """work(block, batches) for every block; batches is a list of (seq, packed batch)."""
 
         def run(values):
+            release()
             by_block: dict[int, list] = {}
             for block, value in values:
                 by_block.setdefault(block, []).append(value)

@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from inkwell.llm.common import components, stored, table
 from inkwell.llm.shingles import mixed, shingle_sets
-from inkwell.llm.tokens import sliced
+from inkwell.llm.tokens import release, sliced
 
 #: Similarity as a ratio of whole numbers.
 SIMILAR = (75, 100)
-#: Counters that estimate in how many texts a shingle is: 16 MB, whatever the size of the corpus.
-COUNTERS = 1 << 22
+#: Counters that estimate in how many texts a shingle is: 4 MB, whatever the size of the corpus.
+COUNTERS = 1 << 20
 
 
 def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
@@ -63,6 +63,7 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
     """Rows (id, n, f1, f2) of every text, and a row with the counters of every task."""
 
     def profile(batches):
+        release()
         counters = np.zeros(COUNTERS, np.uint32)
         names = ["is_text", "id", "n", "f1", "f2", "counters"]
         for batch in sliced(batches):

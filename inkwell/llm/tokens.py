@@ -46,6 +46,11 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+def release() -> None:
+    """Give back the memory of the encoders that earlier stages left in this worker."""
+    _encoders.clear()
+
+
 def sliced(batches, rows: int = 1024):
     """The same rows in small batches, so that a worker holds little at a time."""
     for batch in batches:
