@@ -3,7 +3,9 @@
 Equal vectors collapse to one representative first.  Each tree halves a group of
 vectors again and again at the median of a random projection; vectors near the
 median go to both sides, so that close vectors seldom part.  A group's splits are
-fitted on a bounded sample of it, but every vector goes down every tree.  Leaves
+fitted on a bounded sample of it, but every vector goes down every tree.  A group
+whose splits would part too many of its sampled links, such as a cluster of near
+copies, is not split but compared whole, whatever its size.  Leaves
 that are still too large are groups of the next round.  Vectors are compared in
 double precision within the leaves, in blocks; a pair that meets in several
 leaves counts in the first one only, and each leaf hands on counts and a spanning
@@ -27,6 +29,12 @@ TREES = 6
 LEAF, SPILL = 512, 0.08
 #: About so many vectors of a group fit its splits; fixed, whatever the size of the group.
 SAMPLE = 4096
+#: Sampled vectors of a node whose links show what a split parts.
+PROBE = 512
+#: Share of the sampled links that the splits above a leaf leave together, at least; a split that would part more is not made,
+LEAST_TOGETHER = 0.7
+#: if this share of the sampled pairs, and so many of them, are links.
+DENSE, LEAST_SEEN = 0.002, 8
 #: Vectors that one task sends down the trees.
 DEAL = 20_000
 #: Rounds after which the leaves are compared as they are.
@@ -37,15 +45,28 @@ def _number(*parts) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def fit_tree(sample: np.ndarray, size: int, seed: int, leaf: int = LEAF, spill: float = SPILL):
+def fit_tree(sample: np.ndarray, size: int, seed: int, leaf: int = LEAF, spill: float = SPILL, least: float = LEAST_COSINE):
     """A tree of ("split", direction, low, high, left, right) and ("leaf", number, is final).
 
-    ``size`` is the number of vectors of the whole group.  A node is final when it
-    cannot be split, since too many projections are equal.
+    ``size`` is the number of vectors of the whole group; the rows of ``sample`` have
+    length 1.  A node is final when it cannot be split, since too many projections are
+    equal or since the split would part too many links of at least ``least``.
     """
     random = np.random.default_rng(seed & (2**63 - 1))
 
-    def grow(rows: np.ndarray, expected: float, path: str):
+    def parted(rows: np.ndarray, places: np.ndarray, low: float, high: float) -> float:
+        """Share of the links among some rows that a split parts; 0 where links are too few to tell."""
+        if len(rows) > PROBE:
+            chosen = random.choice(len(rows), PROBE, replace=False)
+            rows, places = rows[chosen], places[chosen]
+        links = sample[rows] @ sample[rows].T >= least
+        np.fill_diagonal(links, False)
+        seen = links.sum() / 2
+        if seen < LEAST_SEEN or seen < DENSE * len(rows) * (len(rows) - 1) / 2:
+            return 0.0
+        return links[places < low][:, places > high].sum() / seen
+
+    def grow(rows: np.ndarray, expected: float, path: str, together: float):
         if expected <= leaf or len(rows) < 16:
             return "leaf", _number(seed, path), expected <= leaf
         direction = random.standard_normal(sample.shape[1]).astype(np.float32)
@@ -54,10 +75,16 @@ def fit_tree(sample: np.ndarray, size: int, seed: int, leaf: int = LEAF, spill:
         left, right = rows[places <= high], rows[places >= low]
         if len(left) > 0.8 * len(rows) or len(right) > 0.8 * len(rows):
             return "leaf", _number(seed, path), True
+        together *= 1 - parted(rows, places, low, high)
+        if together < LEAST_TOGETHER:
+            return "leaf", _number(seed, path), True
         share = expected / len(rows)
-        return "split", direction, low, high, grow(left, share * len(left), path + "l"), grow(right, share * len(right), path + "r")
+        return (
+            "split", direction, low, high, grow(left, share * len(left), path + "l", together),
+            grow(right, share * len(right), path + "r", together),
+        )
 
-    return grow(np.arange(len(sample)), float(size), "")
+    return grow(np.arange(len(sample)), float(size), "", 1.0)
 
 
 def descend(tree, vectors: np.ndarray):
@@ -84,7 +111,9 @@ def _unit(column) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
 
 
-def forest(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
+def forest(
+    vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, least: float = LEAST_COSINE
+) -> DataFrame:
     """(tree leaf as ``node``, id, n, vec) for every leaf that a vector reaches; vectors has (node, id, n, vec).
 
     The node of the input is the root group; vectors of different groups never meet.
@@ -104,7 +133,7 @@ def forest(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, spill: floa
         n_trees = trees if turn == 0 else 1
 
         chosen = growing.where(F.pmod(F.xxhash64("id", "node"), F.col("size")) < SAMPLE)
-        models = stored(chosen.groupBy("node").applyInPandas(_fitter(n_trees, leaf, spill), "node long, model binary"), "trees")
+        models = stored(chosen.groupBy("node").applyInPandas(_fitter(n_trees, leaf, spill, least), "node long, model binary"), "trees")
         parts = F.ceil(F.col("size") / DEAL).cast("int")
         dealt = growing.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("size")
         copies = models.join(open_nodes.select("node", "size"), "node").select(
@@ -120,12 +149,14 @@ def forest(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, spill: floa
     return every.select("node", "id", "n", "vec")
 
 
-def _fitter(trees: int, leaf: int, spill: float):
+def _fitter(trees: int, leaf: int, spill: float, least: float):
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         node = int(frame["node"].iat[0])
         frame = frame.sort_values("id")
         sample = _unit(frame["vec"]).astype(np.float32)
-        grown = [fit_tree(sample, int(frame["size"].iat[0]), _number(node, t), leaf, spill) for t in range(trees)]
+        grown = [fit_tree(sample, int(frame["size"].iat[0]), _number(node, t), leaf, spill, least) for t in range(trees)]
+        whole = [tree for tree in grown if tree[0] == "leaf" and tree[2]]
+        grown = whole[:1] or grown  # where all meet in one leaf, other trees add nothing
         return pd.DataFrame({"node": [node], "model": [pickle.dumps(grown)]})
 
     return fit
@@ -145,41 +176,61 @@ def _send(frame: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)[list(kinds)]
 
 
-def _compare(least: float, block: int):
+def _met_before(nodes_a, nodes_b, node: int) -> np.ndarray:
+    """Whether two vectors share a leaf whose number is below ``node``, for every pair."""
+    places: dict[int, int] = {}
+    earlier = [[places.setdefault(x, len(places)) for x in nodes if x < node] for nodes in nodes_a]
+    others = [[places[x] for x in nodes if x < node and x in places] for nodes in nodes_b]
+    is_in = [np.zeros((len(rows), len(places)), np.float32) for rows in (earlier, others)]
+    for matrix, rows in zip(is_in, (earlier, others)):
+        for k, own in enumerate(rows):
+            matrix[k, own] = 1
+    return is_in[0] @ is_in[1].T > 0
+
+
+def _spanning(links: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links (row, column) that join all that a table of links joins, without cycles between its rows and columns."""
+    a, b, new = [], [], np.ones(links.shape[1], bool)
+    unseen = links.any(axis=1)
+    for start in np.flatnonzero(unseen).tolist():
+        waiting = [start] if unseen[start] else []
+        unseen[start] = False
+        while waiting:
+            row = waiting.pop()
+            for column in np.flatnonzero(links[row] & new).tolist():
+                a.append(row)
+                b.append(column)
+                new[column] = False
+                reached = np.flatnonzero(links[:, column] & unseen).tolist()
+                unseen[reached] = False
+                a += reached
+                b += [column] * len(reached)
+                waiting += reached
+    return a, b
+
+
+def _compare(least: float):
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         """Counts (id, None, count) and links (id, other, 0) of one tile of a leaf."""
         node, low, high = int(frame["node"].iat[0]), int(frame["low"].iat[0]), int(frame["high"].iat[0])
         frame = frame.sort_values("id").reset_index(drop=True)
         first, second = frame[frame["own"] == low], frame[frame["own"] == high]
-        cosines = _unit(first["vec"]) @ _unit(second["vec"]).T if len(first) and len(second) else np.zeros((0, 0))
-        a, b = np.nonzero(cosines >= least)
+        if first.empty or second.empty:
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="Int64"), "links": pd.Series(dtype="int64")})
+        links = _unit(first["vec"]) @ _unit(second["vec"]).T >= least
         ids_a, ids_b = first["id"].to_numpy(), second["id"].to_numpy()
         if low == high:
-            a, b = a[ids_a[a] < ids_b[b]], b[ids_a[a] < ids_b[b]]
-        nodes_a, nodes_b = [frozenset(x) for x in first["nodes"]], [frozenset(x) for x in second["nodes"]]
+            links &= ids_a[:, None] < ids_b[None, :]
         # the smallest common leaf is the one in which the pair counts
-        here = np.array([min(nodes_a[i] & nodes_b[j]) == node for i, j in zip(a.tolist(), b.tolist())], bool)
-        a, b = a[here], b[here]
-        counts: dict[int, int] = {}
+        links &= ~_met_before(first["nodes"], second["nodes"], node)
         n_a, n_b = first["n"].to_numpy(), second["n"].to_numpy()
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        links = []
-        for i, j in zip(a.tolist(), b.tolist()):
-            x, y = int(ids_a[i]), int(ids_b[j])
-            counts[x] = counts.get(x, 0) + int(n_b[j])
-            counts[y] = counts.get(y, 0) + int(n_a[i])
-            if root(x) != root(y):
-                parent[root(x)] = root(y)
-                links.append((x, y))
-        return pd.DataFrame(
-            [(x, None, c) for x, c in counts.items()] + [(x, y, 0) for x, y in links], columns=["id", "other", "links"]
-        ).astype({"id": "int64", "other": "Int64", "links": "int64"})
+        counted = pd.DataFrame({"id": np.concatenate([ids_a, ids_b]), "links": np.concatenate([links @ n_b, n_a @ links])})
+        counted = counted[counted["links"] > 0].groupby("id", as_index=False)["links"].sum()
+        a, b = _spanning(links | links.T if low == high else links)
+        joined = pd.DataFrame({"id": ids_a[a], "other": ids_b[b], "links": 0})
+        return pd.concat([counted.assign(other=None), joined])[["id", "other", "links"]].astype(
+            {"id": "int64", "other": "Int64", "links": "int64"}
+        )
 
     return compare
 
@@ -207,7 +258,7 @@ def near_vectors(
     planted = classes.select(
         F.xxhash64("label", F.size("v")).alias("node"), F.col("rep").alias("id"), "n", _as_bytes(F.col("v")).alias("vec")
     )
-    leaves = stored(forest(stored(planted, "planted"), trees, leaf), "forest-leaves")
+    leaves = stored(forest(stored(planted, "planted"), trees, leaf, least=least), "forest-leaves")
     nodes = stored(leaves.groupBy("id").agg(F.collect_set("node").alias("nodes")), "vector-leaves")
     # leaves are compared in tiles of blocks; nearly all are a single block
     sizes = leaves.groupBy("node").agg(F.ceil(F.count("*") / (2 * leaf)).cast("int").alias("blocks"))
@@ -215,7 +266,7 @@ def near_vectors(
     tiles = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     compared = stored(
         tiles.select("node", "low", "high", "own", "id", "n", "vec", "nodes").groupBy("node", "low", "high")
-        .applyInPandas(_compare(least, 2 * leaf), "id long, other long, links long"),
+        .applyInPandas(_compare(least), "id long, other long, links long"),
         "compared",
     )
     counts = compared.where("other IS NULL").groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))

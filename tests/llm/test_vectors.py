@@ -64,3 +64,36 @@ def test_leaf_that_cannot_be_split(spark):
     rows = [(i, [float(i + 1) * x for x in (1.0, 2.0, -1.0)], 1) for i in range(200)]
     assert sorted(found(spark, rows, leaf=16)) == [(i, 199, 0) for i in range(200)]
     assert found(spark, [(1, [1.0], 1)][:0]) == []
+
+
+def test_large_groups_of_near_copies(spark):
+    """A cluster of jittered copies is far larger than a leaf, among vectors that are not near."""
+    rnd = np.random.default_rng(4)
+    base = rnd.standard_normal(64)
+    for size, others in ((3000, 0), (3000, 6000)):
+        near = base + rnd.standard_normal((size, 64)) * 0.2
+        every = np.concatenate([near, rnd.standard_normal((others, 64))]).astype(np.float32)
+        unit = every.astype(float) / np.linalg.norm(every.astype(float), axis=1)[:, None]
+        want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+        assert want[:size].mean() > 0.9 * size
+        got = {i: n for i, n, _ in found(spark, [(i, v.tolist(), 1) for i, v in enumerate(every)])}
+        reached = np.array([got[i] for i in range(len(every))])
+        assert (reached <= want).all() and reached.sum() >= 0.98 * want.sum()
+
+
+def test_links_of_a_tile_are_spanned():
+    rnd = np.random.default_rng(1)
+    for _ in range(30):
+        links = rnd.random((12, 9)) < rnd.choice([0.05, 0.1, 0.3])
+        a, b = vector_forest._spanning(links)
+        assert links[a, b].all()
+
+        def parts(pairs):
+            label = list(range(21))
+            for x, y in pairs:
+                old, new = label[x], label[12 + y]
+                label = [new if v == old else v for v in label]
+            return {frozenset(k for k in range(21) if label[k] == v) for v in label}
+
+        assert parts(zip(a, b)) == parts(np.argwhere(links).tolist())
+        assert len(a) == 21 - len(parts(zip(a, b)))
