@@ -278,7 +278,7 @@ def ablate(spark, d):
 def predict_table(spark, d):
     """Scores from a model that sees URL slugs or headlines alike."""
     df = _labelled(spark, d)
-    model = Pipeline(stages=[*_word_view(500), md.naive_bayes("multinomial")]).fit(_parts(df)[0])
+    model = Pipeline(stages=[*_word_view(), md.naive_bayes("multinomial")]).fit(_parts(df)[0])
     pages = table(spark, d, "pages").select("page_id", "url")
     inputs = ev.model_input(pages, "url").withColumn("text_clean", tx.clean_strict(F.col("text")))
     return ev.predict_table(model, inputs, "page_id")

@@ -110,3 +110,10 @@ def test_topics_separate_clear_blobs(spark):
     df = spark.createDataFrame(rows, "key int, v array<double>")
     got = {r["key"]: r["topic"] for r in tp.topics_from_vectors(df, "key", "v", k=4, dims=2, min_size=5).collect()}
     assert got[99] == -1 and len({got[i] for i in range(90) if got[i] >= 0}) >= 2
+
+
+def test_predict_table_scores_every_page(spark):
+    from inkwell.plans import QUERIES
+
+    path = "/root/testdata/sf0.001"
+    assert QUERIES["predict_table"](spark, path).count() == spark.read.parquet(f"{path}/pages.parquet").count()
