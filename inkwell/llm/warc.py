@@ -26,6 +26,7 @@ LEAST_SHARED_BYTES = 100
 ARCHIVE_BYTES = 32 << 20
 
 END = b"\r\n\r\n"
+VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
@@ -128,29 +129,72 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     return record, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """An uncompressed gzip member, its checksum verified, and the byte after it."""
-    unzip = zlib.decompressobj(31)
-    try:
-        out = unzip.decompress(data[at:] if at else data)
-    except zlib.error as error:
-        raise Damage(f"gzip member: {error}") from None
+#: Bytes of a gzip member that are decompressed at a time.
+PIECE = 1 << 16
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What a gzip member holds, the byte after it, and what is wrong with it: then the data reach up to there."""
+    unzip, out, place, size, view = zlib.decompressobj(31), [], at, PIECE, memoryview(data)
+    while place < len(data) and not unzip.eof:
+        before = unzip.copy()
+        try:
+            out.append(unzip.decompress(view[place : place + size]))
+        except zlib.error as error:
+            if size == 1:
+                return b"".join(out), place, f"gzip member: {error}"
+            unzip, size = before, max(1, size // 16)  # what precedes the error is kept
+            continue
+        place += size
     if not unzip.eof:
-        raise Damage("gzip member is cut off")
-    return out, len(data) - len(unzip.unused_data)
+        return b"".join(out), len(data), "gzip member is cut off"
+    return b"".join(out), min(place, len(data)) - len(unzip.unused_data), None
+
+
+def _inside(inner: bytes, broken: str | None) -> tuple[list[dict], list[str], int]:
+    """The records of a member that pass, the gaps between them, and where the last record ends.
+
+    In a broken member a record that reaches the end of its data does not pass.
+    """
+    found, gaps, place, last, why = [], [], 0, 0, None
+    while place < len(inner):
+        try:
+            record, end = parse_record(inner, place)
+            if broken and end == len(inner):
+                raise Damage(broken)
+        except Damage as error:
+            why = why or str(error)
+            after = VERSION.search(inner, place + 1)
+            place = after.start() if after else len(inner)
+            continue
+        if why:
+            gaps.append(f"{why} (bytes {last} to {place} of the member)")
+        found.append(record)
+        place, last, why = end, end, None
+    if why:
+        gaps.append(f"{why} (bytes {last} to {len(inner)} of the member)")
+    return found, gaps, last
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
-    """("record", start, end, record) and ("gap", start, end, reason) for all bytes of an archive."""
+    """("record", start, end, record) and ("gap", start, end, reason) for all bytes of an archive.
+
+    Records and gaps inside a gzip member have the place of the member; the reason of
+    such a gap names the bytes of the uncompressed member.
+    """
     at, lost, why = 0, None, ""
     while at < len(data):
+        gaps, broken = [], None
         try:
             if data[at : at + 2] == b"\x1f\x8b":
-                inner, end = _member(data, at)
-                found, place = [], 0
-                while place < len(inner):
-                    record, place = parse_record(inner, place)
-                    found.append(record)
+                inner, end, broken = _member(data, at)
+                found, gaps, last = _inside(inner, broken)
+                if not found and (broken or gaps):
+                    raise Damage(broken or gaps[0])
+                if broken:  # the bytes after those of the last record that passes are searched
+                    unzip = zlib.decompressobj(31)
+                    unzip.decompress(memoryview(data)[at:], last)
+                    end = max(at + 1, len(data) - len(unzip.unconsumed_tail) - 8)  # zlib reads a few bytes ahead
             else:
                 record, end = parse_record(data, at)
                 found = [record]
@@ -165,8 +209,16 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
             lost = None
         for record in found:
             yield "record", at, end, record
+        for reason in gaps:
+            yield "gap", at, end, reason
         at = end
-    if lost is not None:
+        if broken and at < len(data):
+            lost, why = at, f"{broken} (after byte {last} of the member)"
+            after = NEXT.search(data, at)
+            at = after.start() if after else len(data)
+        elif broken:
+            yield "gap", end, end, f"{broken} (after byte {last} of the member)"
+    if lost is not None and lost < len(data):
         yield "gap", lost, len(data), why
 
 

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 
 from inkwell.llm import warc
 from inkwell.llm.common import scratch
@@ -73,3 +74,30 @@ def test_round_trip(spark):
     empty = scratch(spark, "no-archives")
     warc.write_warc(warc.mark_revisits(pages.where("false")), empty)
     assert warc.read_warc(spark, empty).count() == 0
+
+
+def test_salvage_inside_a_member_of_many_records():
+    rnd = random.Random(2)
+    parts = [record(i, rnd.randbytes(3000)) for i in range(40)]
+    ids = [f"<urn:page:{i}>" for i in range(40)]
+
+    def ids_and_gaps(data):
+        out = list(warc.salvage(data))
+        return [x[3]["id"] for x in out if x[0] == "record"], [x[3] for x in out if x[0] == "gap"]
+
+    bad = parts[5][:-20] + b"?" + parts[5][-19:]
+    start = len(b"".join(parts[:5]))
+    whole = gzip.compress(b"".join([*parts[:5], bad, *parts[6:]]))
+    assert ids_and_gaps(whole) == (ids[:5] + ids[6:], [f"payload digest differs (bytes {start} to {start + len(bad)} of the member)"])
+    for level in (0, 6):
+        member = gzip.compress(b"".join(parts), level)
+        after = gzip.compress(record(99, b"next"))
+        for cut in (member[: len(member) // 2], member[:-9]):
+            got, gaps = ids_and_gaps(cut)
+            assert got == ids[: len(got)] and len(got) >= 18 and gaps
+            got, _ = ids_and_gaps(cut + after)
+            assert len(got) == len(set(got)) and got[-1] == "<urn:page:99>" and len(got) >= 19
+        sums = bytearray(member)
+        sums[-6] ^= 1
+        got, gaps = ids_and_gaps(bytes(sums) + after)
+        assert got[:39] == ids[:39] and got[-1] == "<urn:page:99>" and len(got) == len(set(got)) and "gzip member" in gaps[0]
