@@ -130,7 +130,7 @@ def feature_union(spark, d):
 
 @query()
 def embed_text(spark, d):
-    return ft.embed_text(headlines(spark, d), "doc_id", "title", k=16, vocab_size=500)
+    return ft.embed_text(headlines(spark, d), "doc_id", "title")
 
 
 @query()
@@ -289,18 +289,18 @@ def predict_table(spark, d):
 
 @query()
 def topics_from_vectors(spark, d):
-    return tp.topics_from_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", k=8, min_size=10)
+    return tp.topics_from_vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 @query()
 def cluster_sweep(spark, d):
-    return tp.cluster_sweep(table(spark, d, "embeddings"), "vec_id", "embedding", (3, 5), 8, 10)
+    return tp.cluster_sweep(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 @query()
 def lda_topics(spark, d):
     df = ft.text_views(headlines(spark, d).select("doc_id", "title"), "title").select("doc_id", "text_clean")
-    assigned, _ = tp.lda_topics(df, "doc_id", "text_clean", k=4, vocab_size=500, n_max=2, stop=STOP, max_iter=5)
+    assigned, _ = tp.lda_topics(df, "doc_id", "text_clean", k=13, stop=STOP)
     return assigned
 
 

@@ -117,3 +117,10 @@ def test_predict_table_scores_every_page(spark):
 
     path = "/root/testdata/sf0.001"
     assert QUERIES["predict_table"](spark, path).count() == spark.read.parquet(f"{path}/pages.parquet").count()
+
+
+def test_cluster_sweep_covers_all_dimensions(spark):
+    from inkwell.plans import QUERIES
+
+    swept = QUERIES["cluster_sweep"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["dims"] for r in swept) == [3, 5, 8, 10]
