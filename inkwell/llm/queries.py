@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkwell.llm.conversations import OP11_SQL, op11_conversations
 from inkwell.llm.line_rules import OP6_SQL, op6_line_rules
 from inkwell.llm.mixing import op4_cube_mix
 from inkwell.llm.ngram_join import OP10_SQL, op10_ngram_join
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_vector_forest": op9_vector_forest,
     "op10_ngram_join": op10_ngram_join,
+    "op11_conversations": op11_conversations,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op6_line_rules": OP6_SQL,
     "op9_vector_forest": OP9_SQL,
     "op10_ngram_join": OP10_SQL,
+    "op11_conversations": OP11_SQL,
 }
