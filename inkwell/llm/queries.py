@@ -5,6 +5,7 @@ from __future__ import annotations
 from inkwell.llm.conversations import OP11_SQL, op11_conversations
 from inkwell.llm.line_rules import OP6_SQL, op6_line_rules
 from inkwell.llm.mixing import op4_cube_mix
+from inkwell.llm.negatives import OP12_SQL, op12_hard_negatives
 from inkwell.llm.ngram_join import OP10_SQL, op10_ngram_join
 from inkwell.llm.packing import op3_best_fit
 from inkwell.llm.privacy import op5_privacy
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_vector_forest": op9_vector_forest,
     "op10_ngram_join": op10_ngram_join,
     "op11_conversations": op11_conversations,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
@@ -33,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op9_vector_forest": OP9_SQL,
     "op10_ngram_join": OP10_SQL,
     "op11_conversations": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
