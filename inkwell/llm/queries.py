@@ -7,6 +7,7 @@ from inkwell.llm.line_rules import OP6_SQL, op6_line_rules
 from inkwell.llm.mixing import op4_cube_mix
 from inkwell.llm.negatives import OP12_SQL, op12_hard_negatives
 from inkwell.llm.ngram_join import OP10_SQL, op10_ngram_join
+from inkwell.llm.page_text import OP13_SQL, op13_main_text
 from inkwell.llm.packing import op3_best_fit
 from inkwell.llm.privacy import op5_privacy
 from inkwell.llm.quality import op2_quality
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
     "op11_conversations": op11_conversations,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_main_text": op13_main_text,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
@@ -36,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op10_ngram_join": OP10_SQL,
     "op11_conversations": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
+    "op13_main_text": OP13_SQL,
 }
