@@ -7,148 +7,120 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.feature import (
-    PCA, CountVectorizerModel, ElementwiseProduct, Normalizer, StandardScaler, VectorAssembler,
-)
+from pyspark.ml import Estimator, Model, Pipeline, Transformer
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.mllib.linalg import Vectors as RowVectors
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLWritable
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.storagelevel import StorageLevel
 
 from inkwell.functions.text import clean_strict, normalize_raw, stem, style_features_16, with_features
-from inkwell.operators.terms import char_wb_ngrams, word_ngrams
+from inkwell.operators.counting import Analyzer, Vocabulary, weighted
 from inkwell.session import written
 
 
-class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Replaces each term count in a sparse vector by ``1 + ln(count)``."""
+class TableWriter(DefaultParamsWriter):
+    """Parameters, and the tables of a model next to them."""
 
-    def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
-        super().__init__()
-        if inputCol:
-            self._set(inputCol=inputCol, outputCol=outputCol)
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        for name, table in self.instance.tables().items():
+            table.write.parquet(f"{path}/{name}")
 
-    def _transform(self, df: DataFrame) -> DataFrame:
-        # A map over Arrow batches instead of a scalar UDF: the log is taken over a
-        # whole batch at once, and the plan node keeps the optimizer from folding the
-        # token expressions below it into a Python UDF's input.
-        name, out = self.getInputCol(), self.getOutputCol()
 
-        def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                vectors = batch.column(batch.schema.get_field_index(name))
-                kind, size, indices, values = vectors.flatten()
-                weights = pa.ListArray.from_arrays(
-                    values.offsets, pc.add(pc.ln(values.values), 1.0), type=values.type
-                )
-                scaled = pa.StructArray.from_arrays(
-                    [kind, size, indices, weights], fields=[vectors.type.field(i) for i in range(4)]
-                )
-                columns = [batch.column(i) for i in range(batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*columns, scaled], names=[*batch.schema.names, out])
-
-        return df.mapInArrow(logs, T.StructType([*df.schema.fields, T.StructField(out, VectorUDT())]))
-
-
-class TfidfVocabulary(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Token arrays to TF-IDF weights with ``idf = ln((1 + n) / (1 + df)) + 1``.
-
-    One pass finds document and corpus frequencies together: a term's map-side
-    counters are all that is shuffled, however often the term occurs.  ``vocabSize``
-    keeps the most frequent terms, 0 all that the document frequencies allow; they
-    go through the driver, as every Spark vocabulary does.
+class TableReader(DefaultParamsReader):
+    def load(self, path: str):
+        model = super().load(path)
+        model.restore(lambda name: self.sparkSession.read.parquet(f"{path}/{name}"))
+        return model
+
+
+class TableModel(Model, HasInputCol, HasOutputCol, MLReadable, MLWritable):
+    """A model that is saved as parameters and tables: ``tables()`` gives them, ``restore(read)`` takes them."""
+
+    def write(self) -> TableWriter:
+        return TableWriter(self)
+
+    @classmethod
+    def read(cls) -> TableReader:
+        return TableReader(cls)
+
+
+class _TextView(HasInputCol, HasOutputCol):
+    """How a text column becomes weighted terms; shared by the estimator and its model."""
+
+    analyzer = Param(Params._dummy(), "analyzer", "word or char", TypeConverters.toString)
+    nMin = Param(Params._dummy(), "nMin", "shortest n-gram", TypeConverters.toInt)
+    nMax = Param(Params._dummy(), "nMax", "longest n-gram", TypeConverters.toInt)
+    stopWords = Param(Params._dummy(), "stopWords", "words to drop", TypeConverters.toListString)
+    sublinear = Param(Params._dummy(), "sublinear", "use 1 + ln(count)", TypeConverters.toBoolean)
+
+    def _view(self) -> Analyzer:
+        get = self.getOrDefault
+        return Analyzer(get("analyzer"), get("nMin"), get("nMax"), tuple(get("stopWords")))
+
+
+class TfidfVectors(Estimator, _TextView, DefaultParamsReadable, DefaultParamsWritable):
+    """A text column to normalised TF-IDF vectors with ``idf = ln((1 + n) / (1 + df)) + 1``.
+
+    Counts stay in the row; partial sums by term are all that is shuffled to fit.  The
+    vocabulary is a table: it goes to the tasks if its measured size allows it and is
+    joined by term otherwise.  ``vocabSize`` keeps the most frequent terms, 0 all that
+    the document frequencies allow.
     """
 
     vocabSize = Param(Params._dummy(), "vocabSize", "terms kept, by corpus frequency; 0: all", TypeConverters.toInt)
     minDF = Param(Params._dummy(), "minDF", "least number of documents", TypeConverters.toFloat)
     maxDF = Param(Params._dummy(), "maxDF", "largest share of documents", TypeConverters.toFloat)
-    sublinear = Param(Params._dummy(), "sublinear", "use 1 + ln(count)", TypeConverters.toBoolean)
 
-    def __init__(self, inputCol=None, outputCol=None, vocabSize=0, minDF=1.0, maxDF=1.0, sublinear=False):
+    def __init__(
+        self, inputCol=None, outputCol=None, analyzer="word", nMin=1, nMax=1, stopWords=(), vocabSize=0, minDF=1.0, maxDF=1.0, sublinear=False,
+    ):
         super().__init__()
-        self._setDefault(vocabSize=0, minDF=1.0, maxDF=1.0, sublinear=False)
+        self._setDefault(analyzer="word", nMin=1, nMax=1, stopWords=[], vocabSize=0, minDF=1.0, maxDF=1.0, sublinear=False)
         if inputCol:
-            self._set(inputCol=inputCol, outputCol=outputCol, vocabSize=vocabSize, minDF=float(minDF),
-                      maxDF=float(maxDF), sublinear=sublinear)
-
-    def _fit(self, df: DataFrame) -> Model:
-        grams, out = F.col(self.getInputCol()), self.getOutputCol()
-        mark = lambda seen: lambda t: F.struct(t.alias("term"), F.lit(seen).alias("seen"))
-        # The empty marker term counts the documents in the same pass.
-        occurrences = F.concat(
-            F.transform(grams, mark(0)),
-            F.transform(F.array_distinct(grams), mark(1)),
-            F.array(F.struct(F.lit("").alias("term"), F.lit(1).alias("seen"))),
-        )
-        stats = (
-            df.select(F.inline(occurrences)).groupBy("term")
-            .agg(F.sum("seen").alias("df"), F.sum(1 - F.col("seen")).alias("total"))
-        )
-        stats = written(stats, "terms")
-        n = (stats.filter("term = ''").agg(F.max("df")).first()[0]) or 0
-        kept = (
-            stats.filter((F.col("term") != "") & (F.col("df") >= self.getOrDefault("minDF"))
-                         & (F.col("df") <= self.getOrDefault("maxDF") * n))
-            .orderBy(F.col("total").desc(), F.col("term").asc())
-        )
-        if self.getOrDefault("vocabSize"):
-            kept = kept.limit(self.getOrDefault("vocabSize"))
-        kept = kept.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).collect()
-        if not kept:
+            self._set(
+                inputCol=inputCol, outputCol=outputCol, analyzer=analyzer, nMin=nMin, nMax=nMax, stopWords=list(stopWords),
+                vocabSize=vocabSize, minDF=float(minDF), maxDF=float(maxDF), sublinear=sublinear,
+            )
+
+    def _fit(self, df: DataFrame) -> "TermWeights":
+        get = self.getOrDefault
+        return self.model(Vocabulary.fit(df, self.getInputCol(), self._view(), get("minDF"), get("maxDF"), get("vocabSize") or None))
+
+    def model(self, vocabulary: Vocabulary) -> "TermWeights":
+        """The model with a vocabulary counted elsewhere."""
+        if not vocabulary.size:
             raise ValueError("no term is left in the vocabulary")
-        counts, scaled = f"{out}_tf", f"{out}_sub"
-        stages = [
-            CountVectorizerModel.from_vocabulary([r["term"] for r in kept], self.getInputCol(), counts),
-            DropColumn(self.getInputCol()),
-        ]
-        if self.getOrDefault("sublinear"):
-            stages.append(SublinearTf(counts, scaled))
-            counts = scaled
-        weigh = ElementwiseProduct(
-            inputCol=counts, outputCol=out, scalingVec=Vectors.dense([r["idf"] for r in kept])
+        get = self.getOrDefault
+        out = TermWeights()
+        out._set(
+            inputCol=self.getInputCol(), outputCol=self.getOutputCol(), analyzer=get("analyzer"), nMin=get("nMin"), nMax=get("nMax"),
+            stopWords=get("stopWords"), sublinear=get("sublinear"),
         )
-        return PipelineModel(stages=[*stages, weigh])
+        out.vocabulary = vocabulary
+        return out
+
 
+class TermWeights(TableModel, _TextView):
+    """Fitted :class:`TfidfVectors`; ``vocabulary.table`` has the terms with their places in the vectors."""
 
-class DropColumn(Transformer, HasInputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Drops an intermediate column, e.g. token arrays once they are counted."""
+    vocabulary: Vocabulary
 
-    def __init__(self, inputCol: str | None = None):
+    def __init__(self):
         super().__init__()
-        if inputCol:
-            self._set(inputCol=inputCol)
+        self._setDefault(analyzer="word", nMin=1, nMax=1, stopWords=[], sublinear=False)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.drop(self.getInputCol())
-
-
-class NgramView(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Text column to an n-gram array: ``word`` or ``char`` (inside word bounds)."""
-
-    analyzer = Param(Params._dummy(), "analyzer", "word or char", TypeConverters.toString)
-    nMin = Param(Params._dummy(), "nMin", "shortest n-gram", TypeConverters.toInt)
-    nMax = Param(Params._dummy(), "nMax", "longest n-gram", TypeConverters.toInt)
-    stopWords = Param(Params._dummy(), "stopWords", "words to drop", TypeConverters.toListString)
+        return weighted(df, self.getInputCol(), self._view(), self.vocabulary, self.getOrDefault("sublinear"), self.getOutputCol())
 
-    def __init__(self, inputCol=None, outputCol=None, analyzer="word", nMin=1, nMax=1, stopWords=()):
-        super().__init__()
-        self._setDefault(analyzer="word", nMin=1, nMax=1, stopWords=[])
-        if inputCol:
-            self._set(inputCol=inputCol, outputCol=outputCol, analyzer=analyzer, nMin=nMin, nMax=nMax,
-                      stopWords=list(stopWords))
+    def tables(self) -> dict[str, DataFrame]:
+        return {"terms": self.vocabulary.table}
 
-    def _transform(self, df: DataFrame) -> DataFrame:
-        text, low, high = F.col(self.getInputCol()), self.getOrDefault("nMin"), self.getOrDefault("nMax")
-        if self.getOrDefault("analyzer") == "char":
-            grams = char_wb_ngrams(text, low, high)
-        else:
-            grams = word_ngrams(text, low, high, self.getOrDefault("stopWords"))
-        return df.withColumn(self.getOutputCol(), grams)
+    def restore(self, read: Callable[[str], DataFrame]) -> None:
+        self.vocabulary = Vocabulary(read("terms"), True)
 
 
 class StyleVector(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -198,33 +170,56 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
         return df.withColumn(self.getOutputCol(), array_to_vector(project(vector_to_array(self.getInputCol()))))
 
 
-class LinearProjection(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Multiplies each vector by a fixed (features x k) matrix, e.g. SVD directions."""
+def entries(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, value) of the stored elements of a batch of vectors, sparse or dense, in order of rows."""
+    kinds, _, indices, values = (vectors.field(k) for k in range(4))
+    sizes = np.diff(values.offsets.to_numpy())
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    flat = values.flatten().to_numpy(zero_copy_only=False)
+    sparse = kinds.to_numpy(zero_copy_only=False)[rows] == 0
+    if not len(flat):
+        return rows, rows, flat
+    places = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    places[sparse] = indices.flatten().to_numpy(zero_copy_only=False)
+    return rows, places, flat
 
-    columns = Param(Params._dummy(), "columns", "k columns, flattened", TypeConverters.toListFloat)
-    k = Param(Params._dummy(), "k", "number of columns", TypeConverters.toInt)
 
-    def __init__(self, inputCol=None, outputCol=None, columns=None, k=1):
+def _times(vectors: pa.StructArray, matrix: np.ndarray) -> np.ndarray:
+    """Vectors times a (features x k) matrix, column by column."""
+    rows, places, values = entries(vectors)
+    return np.stack([np.bincount(rows, values * matrix[places, j], len(vectors)) for j in range(matrix.shape[1])], axis=1)
+
+
+class LinearProjection(TableModel):
+    """Multiplies each vector by a fixed (features x k) matrix, e.g. SVD directions."""
+
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None, matrix: np.ndarray | None = None):
         super().__init__()
+        self.matrix = matrix
         if inputCol:
-            self._set(inputCol=inputCol, outputCol=outputCol, columns=columns, k=k)
+            self._set(inputCol=inputCol, outputCol=outputCol)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        k = self.getOrDefault("k")
-        matrix = np.asarray(self.getOrDefault("columns")).reshape(k, -1).T.copy()
-        shipped = df.sparkSession.sparkContext.broadcast(matrix)  # vocabulary cap x k numbers
+        name, out = self.getInputCol(), self.getOutputCol()
+        shipped = df.sparkSession.sparkContext.broadcast(self.matrix)
+        kept = [n for n in df.columns if n != out]
 
-        @F.pandas_udf("array<double>")
-        def project(parts: pd.DataFrame) -> pd.Series:
-            directions = shipped.value
-            return pd.Series(
-                [
-                    (v @ directions if i is None else v @ directions[i])
-                    for i, v in zip(parts["indices"], parts["values"])
-                ]
-            )
+        def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                low = _times(batch["_v"], shipped.value)
+                values = pa.ListArray.from_arrays(np.arange(len(low) + 1, dtype=np.int32) * low.shape[1], pa.array(low.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch[n] for n in kept), values], [*kept, "_v"])
+
+        kinds = T.StructType([*(df.schema[n] for n in kept), T.StructField("_v", T.ArrayType(T.DoubleType()))])
+        rows = df.select(*kept, F.unwrap_udt(name).alias("_v")).mapInArrow(project, kinds)
+        return rows.select(*kept, array_to_vector("_v").alias(out))
 
-        return df.withColumn(self.getOutputCol(), array_to_vector(project(F.unwrap_udt(self.getInputCol()))))
+    def tables(self) -> dict[str, DataFrame]:
+        rows = pa.table({"place": np.arange(len(self.matrix)), "row": pa.array(list(self.matrix), pa.list_(pa.float64()))})
+        return {"matrix": SparkSession.active().createDataFrame(rows)}
+
+    def restore(self, read: Callable[[str], DataFrame]) -> None:
+        self.matrix = np.array(read("matrix").orderBy("place").toArrow()["row"].to_pylist())
 
 
 def text_views(df: DataFrame, text_col: str) -> DataFrame:
@@ -244,12 +239,7 @@ def tfidf_stages(
     The vocabulary is what ``min_df`` and ``max_df`` leave; ``vocab_size`` cuts it to the
     most frequent terms only where a model is defined that way.
     """
-    grams, weighted = f"_{out}_grams", f"_{out}_idf"
-    return [
-        NgramView(input_col, grams, analyzer, n_min, n_max, stop),
-        TfidfVocabulary(grams, weighted, vocab_size or 0, min_df, max_df, sublinear),
-        Normalizer(inputCol=weighted, outputCol=out, p=2.0),
-    ]
+    return [TfidfVectors(input_col, out, analyzer, n_min, n_max, stop, vocab_size or 0, min_df, max_df, sublinear)]
 
 
 def feature_union(out: str = "features") -> Pipeline:
@@ -296,7 +286,9 @@ def fuse_features(
 ) -> DataFrame:
     """Join both feature sets by key and assemble one vector.
 
-    With ``check``, keys present on one side only or repeated raise an error.
+    With ``check``, keys present on one side only or repeated raise an error; without,
+    every key of either side comes back, ``missing`` names the side without it (style or
+    vector) and its vector is null.
     """
     if check:
         tally = style.select(key_col, F.lit(1).alias("s"), F.lit(0).alias("v")).unionByName(
@@ -305,34 +297,91 @@ def fuse_features(
         odd = tally.groupBy(key_col).agg(F.sum("s").alias("s"), F.sum("v").alias("v")).filter("s <> 1 or v <> 1")
         if not odd.isEmpty():
             raise ValueError("feature sets do not match one to one")
-    joined = as_vector(style.join(vectors.select(key_col, vector_col), key_col), vector_col, "_dense")
-    return VectorAssembler(inputCols=[*style_cols, "_dense"], outputCol=out).transform(joined).drop("_dense")
+    left = style.select(key_col, F.array(*(F.col(c).cast("double") for c in style_cols)).alias("_style"))
+    right = vectors.select(key_col, F.col(vector_col).cast("array<double>").alias("_dense"))
+    joined = left.join(right, key_col, "inner" if check else "full_outer")
+    fused = array_to_vector(F.concat("_style", "_dense"))  # null where a side is
+    if check:
+        return joined.select(key_col, fused.alias(out))
+    missing = F.when(F.col("_style").isNull(), "style").when(F.col("_dense").isNull(), "vector")
+    both = F.when(missing.isNull(), F.concat("_style", "_dense"))
+    return joined.select(key_col, both.alias("_both"), missing.alias("missing")).select(
+        key_col, F.when(F.col("_both").isNotNull(), array_to_vector(F.coalesce("_both", F.array().cast("array<double>")))).alias(out), "missing"
+    )
 
 
-def svd_projection(df: DataFrame, vector_col: str, k: int, out: str) -> tuple[LinearProjection, list[float]]:
-    """Truncated SVD directions of a (capped-vocabulary) vector column and singular values.
+#: Directions fitted beyond those asked for, rounds at most, change of a squared singular value that ends them.
+OVERSAMPLE, ROUNDS, TOLERANCE = 10, 12, 1e-9
+#: Features of a block of a product that is summed in one place.
+FEATURE_BLOCK = 8192
 
-    One distributed pass sums the features x features Gram matrix, whose size is
-    set by the vocabulary cap and not by the rows; its eigenvectors are the right
-    singular vectors.
-    """
-    from pyspark.mllib.linalg.distributed import RowMatrix
 
-    rows = df.select(F.unwrap_udt(vector_col).alias("v")).rdd.map(
-        lambda r: RowVectors.dense(r.v["values"]) if r.v["indices"] is None
-        else RowVectors.sparse(r.v["size"], r.v["indices"], r.v["values"])
-    )
-    gram = RowMatrix(rows).computeGramianMatrix().toArray()
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1][:k]
-    order = order[values[order] > 1e-12 * max(float(values.max()), 1e-300)]
-    directions = vectors[:, order]
-    # Eigenvectors have no sign of their own; fix it so that reruns agree.
+def _gram_product(rows: DataFrame, matrix: np.ndarray) -> np.ndarray:
+    """X'X times a (features x k) matrix, for vectors X in column ``v``.
+
+    Every task sums its rows into a (features x k) array; the sums of a block of features meet in one place.
+    """
+    spark, (size, width) = rows.sparkSession, matrix.shape
+    shipped = spark.sparkContext.broadcast(matrix)
+
+    def partial(batches):
+        total = np.zeros((width, size))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, places, values = entries(batch["v"])
+            low = _times(batch["v"], shipped.value)
+            for j in range(width):
+                total[j] += np.bincount(places, values * low[at, j], size)
+        for start in range(0, size, FEATURE_BLOCK):
+            part = np.ascontiguousarray(total[:, start : start + FEATURE_BLOCK])
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([start], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["start", "sums"])
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(part) for part in parts["sums"]], axis=0)
+        return pd.DataFrame({"start": parts["start"].iloc[:1], "sums": [total.tobytes()]})
+
+    kinds = "start int, sums binary"
+    out = np.zeros((width, size))
+    for row in rows.mapInArrow(partial, kinds).groupBy("start").applyInPandas(add, kinds).toLocalIterator():
+        part = np.frombuffer(bytes(row["sums"])).reshape(width, -1)
+        out[:, row["start"] : row["start"] + part.shape[1]] = part
+    shipped.unpersist()
+    return out.T
+
+
+def svd_projection(
+    df: DataFrame, vector_col: str, k: int, out: str, seed: int = 0
+) -> tuple[LinearProjection, list[float]]:
+    """Truncated SVD directions of a vector column and its singular values.
+
+    Block power iteration from random directions: each round multiplies by X'X in one
+    pass over the rows and makes the columns orthonormal again, until the squared
+    singular values stand still.  The driver holds (features x k) numbers, never
+    features x features.
+    """
+    rows = df.select(F.unwrap_udt(vector_col).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+    size = rows.agg(F.max(F.coalesce("v.size", F.size("v.values")))).first()[0] or 1
+    width = min(k + OVERSAMPLE, size)
+    basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))
+    before = np.full(width, np.inf)
+    for _ in range(ROUNDS):
+        product = _gram_product(rows, basis)
+        inner = basis.T @ product
+        values, turns = np.linalg.eigh((inner + inner.T) / 2)
+        values, turns = values[::-1], turns[:, ::-1]
+        directions = basis @ turns
+        if np.abs(values[:k] - before[:k]).max() <= TOLERANCE * max(values[0], 1e-300):
+            break
+        before = values
+        basis, _ = np.linalg.qr(product)
+    rows.unpersist()
+    order = np.flatnonzero(values[:k] > 1e-12 * max(float(values[0]), 1e-300))
+    directions = directions[:, order]
+    # Singular vectors have no sign of their own; fix it so that reruns agree.
     directions = directions * np.sign(directions[np.abs(directions).argmax(axis=0), range(len(order))])
-    return (
-        LinearProjection(vector_col, out, [float(x) for x in directions.T.ravel()], len(order)),
-        [float(s) for s in np.sqrt(values[order])],
-    )
+    return LinearProjection(vector_col, out, directions), [float(x) for x in np.sqrt(values[order])]
 
 
 def pca(df: DataFrame, vector_col: str, k: int, out: str):
@@ -341,7 +390,7 @@ def pca(df: DataFrame, vector_col: str, k: int, out: str):
 
 
 def embed_text(
-    df: DataFrame, key_col: str, text_col: str, k: int = 64, vocab_size: int = 2000,
+    df: DataFrame, key_col: str, text_col: str, k: int = 64, vocab_size: int | None = None,
     encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
 ) -> DataFrame:
     """``(key, embedding)``: any encoder, by default latent semantic analysis.

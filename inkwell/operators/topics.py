@@ -83,10 +83,11 @@ def lda_topics(
     assigned = model.transform(weighted).select(
         key_col, (F.array_position(mix, F.array_max(mix)) - 1).cast("int").alias("topic"), F.array_max(mix).alias("weight")
     )
-    vocab = pipeline.stages[1].stages[0].vocabulary  # vocab_size terms
-    names = F.array(*[F.lit(v) for v in vocab])
-    described = model.describeTopics(top_words)
-    words = described.select(
+    terms = pipeline.stages[0].vocabulary.table
+    described = model.describeTopics(top_words).select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "_t")
-    ).select("topic", (F.col("rank") + 1).alias("rank"), F.get(names, F.col("_t.termIndices")).alias("term"), F.col("_t.termWeights").alias("weight"))
+    )
+    words = described.join(terms, F.col("_t.termIndices") == F.col("id")).select(
+        "topic", (F.col("rank") + 1).alias("rank"), "term", F.col("_t.termWeights").alias("weight")
+    )
     return assigned, words

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from inkwell.functions import text as tx
 from inkwell.operators import evaluate as ev, features as ft, models as md, splits as sp, terms as tm, topics as tp
+from inkwell.operators.counting import Analyzer
 from inkwell.plans.intake import PREDICTIONS_SQL, predictions
 from inkwell.plans.registry import query
+from inkwell.plans.texts import STYLE_16_NAMES, STYLE_16_SQL
 from inkwell.plans.views import articles, headlines, table
 from inkwell.session import spread, written
 
@@ -50,9 +52,7 @@ def char_wb_ngrams(spark, d):
 @query(f"""WITH {GRAMS_SQL}, {weight_sql("count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM headlines)", "1 + ln(tf)")}
     SELECT doc_id, term, round(weight, 6) AS weight FROM weights""")
 def tfidf(spark, d):
-    return tm.tfidf(
-        headlines(spark, d), "doc_id", tm.word_ngrams(F.col("title"), 1, 2), min_df=2, max_df=0.95, sublinear=True
-    )
+    return tm.tfidf(headlines(spark, d), "doc_id", "title", Analyzer(n_max=2), min_df=2, max_df=0.95, sublinear=True)
 
 
 @query(f"""WITH {GRAMS_SQL}, {weight_sql("count(*) >= 5 AND count(*) <= 0.95 * (SELECT count(*) FROM headlines)", "1 + ln(tf)")},
@@ -64,8 +64,7 @@ def tfidf(spark, d):
     FROM s QUALIFY row_number() OVER (PARTITION BY side ORDER BY round(log_odds, 9) DESC, term) <= 20""")
 def distinctive_terms(spark, d):
     weights = tm.tfidf(
-        headlines(spark, d), "doc_id", tm.word_ngrams(F.col("title"), 1, 2), min_df=5, max_df=0.95, sublinear=True,
-        keep=["outlet"],
+        headlines(spark, d), "doc_id", "title", Analyzer(n_max=2), min_df=5, max_df=0.95, sublinear=True, keep=["outlet"]
     )
     return tm.distinctive_terms(weights, "outlet", "A", "B", 0.5, 20)
 
@@ -145,20 +144,23 @@ def reduce(spark, d):
     )
 
 
-@query()
+@query(f"""WITH {STYLE_16_SQL}, s AS (SELECT doc_id, {' + '.join(STYLE_16_NAMES)} AS total FROM style),
+    v AS (SELECT vec_id, list_sum(embedding::DOUBLE[]) AS total, len(embedding) AS n FROM embeddings)
+    SELECT coalesce(doc_id, vec_id) AS doc_id, CASE WHEN doc_id IS NULL OR vec_id IS NULL THEN 0 ELSE {len(STYLE_16_NAMES)} + n END AS size,
+        round(coalesce(s.total + v.total, 0), 4) AS total,
+        CASE WHEN doc_id IS NULL THEN 'style' WHEN vec_id IS NULL THEN 'vector' END AS missing
+    FROM s FULL JOIN v ON doc_id = vec_id""")
 def fuse_features(spark, d):
-    """Style and embedding side by side; documents without a vector are listed with size 0."""
+    """Style and embedding side by side; keys of one side only are listed with what they lack."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    docs = headlines(spark, d).select("doc_id", "title")
-    style = tx.with_features(docs, "title", tx.style_features_16).drop("title")
+    style = tx.with_features(headlines(spark, d).select("doc_id", "title"), "title", tx.style_features_16).drop("title")
     names = [c for c in style.columns if c != "doc_id"]
-    matched = style.join(vectors.select("doc_id"), "doc_id", "left_semi")
-    fused = ft.fuse_features(matched, vectors, "doc_id", names, "embedding")
-    values = vector_to_array("features")
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    rest = docs.join(vectors.select("doc_id"), "doc_id", "left_anti")
-    return fused.select("doc_id", F.size(values).alias("size"), total.alias("total")).union(
-        rest.select("doc_id", F.lit(0), F.lit(0.0))
+    fused = ft.fuse_features(style, vectors, "doc_id", names, "embedding", check=False)
+    empty = F.array().cast("array<double>")
+    values = F.when(F.col("missing").isNull(), vector_to_array("features")).otherwise(empty)
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return fused.select("doc_id", "missing", values.alias("values")).select(
+        "doc_id", F.size("values").alias("size"), F.round(total, 4).alias("total"), "missing"
     )
 
 
@@ -194,10 +196,10 @@ def tree_ensembles(spark, d):
     """Random forest and boosted trees on SVD-reduced text, side by side."""
     df = _labelled(spark, d)
     weighted = Pipeline(stages=_word_view()).fit(_parts(df)[0]).transform(df).select("doc_id", "label", "split", "features")
-    projection, _ = ft.svd_projection(_parts(weighted)[0], "features", 20, "low")
+    projection, _ = ft.svd_projection(_parts(weighted)[0], "features", 100, "low")
     train, test = _parts(written(projection.transform(weighted).drop("features"), "low"))
-    forest = md.random_forest(20, 0, featuresCol="low").fit(train)
-    boosted = md.boosted_trees(10, 4, 0.1, 0.8, 0, featuresCol="low").fit(train)
+    forest = md.random_forest(200, 0, featuresCol="low").fit(train)
+    boosted = md.boosted_trees(300, 4, 0.05, 0.8, 0, featuresCol="low").fit(train)
     scored = forest.transform(test).select("doc_id", "label", "low", F.col("prediction").alias("forest"))
     return boosted.transform(scored).select("doc_id", "label", F.col("forest"), F.col("prediction").alias("boosted"))
 

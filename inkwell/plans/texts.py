@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from inkwell.functions import dates, pages as pg, text as tx, urls
@@ -71,7 +73,7 @@ def style_markers_8(spark, d):
     return _features(spark, d, tx.style_markers_8)
 
 
-@query(rf"""WITH {TOKENIZED} SELECT doc_id, length(title) AS len_chars, len(words) AS n_words,
+STYLE_16 = rf"""SELECT doc_id, length(title) AS len_chars, len(words) AS n_words,
     round(length(regexp_replace(title, '\s+', '', 'g')) / greatest(len(words), 1)::DOUBLE, 6) AS mean_word_len,
     round({CAPITAL} / greatest(len(words), 1)::DOUBLE, 6) AS caps_word_ratio,
     round({ALLCAPS} / greatest(len(words), 1)::DOUBLE, 6) AS allcaps_word_ratio,
@@ -80,7 +82,13 @@ def style_markers_8(spark, d):
     contains(title, '?')::BIGINT AS has_question, contains(title, '!')::BIGINT AS has_exclaim, contains(title, ':')::BIGINT AS has_colon,
     length(regexp_replace(title, '[^"‘’“”]', '', 'g')) AS n_quotes, length(regexp_replace(title, '[^—]', '', 'g')) AS n_emdash,
     length(regexp_replace(title, '[^-]', '', 'g')) AS n_hyphen, length(regexp_replace(title, '[^,]', '', 'g')) AS n_comma,
-    (title = '' OR regexp_matches(title, '^["‘’“”]'))::BIGINT AS starts_with_quote, (title LIKE '%?')::BIGINT AS ends_with_question FROM w""")
+    (title = '' OR regexp_matches(title, '^["‘’“”]'))::BIGINT AS starts_with_quote, (title LIKE '%?')::BIGINT AS ends_with_question FROM w"""
+#: The same without rounding, for sums over the features.
+STYLE_16_SQL = f"{TOKENIZED}, style AS ({re.sub(r'round[(](.+?), 6[)] AS', r'(\1) AS', STYLE_16)})"
+STYLE_16_NAMES = tuple(re.findall(r" AS (\w+)(?=,| FROM)", STYLE_16))
+
+
+@query(f"WITH {TOKENIZED} {STYLE_16}")
 def style_features_16(spark, d):
     return _features(spark, d, tx.style_features_16)
 

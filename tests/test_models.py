@@ -29,7 +29,7 @@ def word_view(**options):
 def test_tfidf_vector_equals_the_formula(spark):
     df = spark.createDataFrame([(0, "aa aa bb"), (1, "bb cc"), (2, "bb")], "key int, text_clean string")
     model = Pipeline(stages=word_view()).fit(df)
-    vocab = model.stages[1].stages[0].vocabulary
+    vocab = [r["term"] for r in model.stages[0].vocabulary.table.orderBy("id").collect()]
     rows = {r["key"]: r["a"] for r in model.transform(df).select("key", vector_to_array("features").alias("a")).collect()}
     idf = {t: np.log((1 + 3) / (1 + n)) + 1 for t, n in (("aa", 1), ("bb", 3), ("cc", 1))}
     want = np.array([{"aa": (1 + np.log(2)) * idf["aa"], "bb": idf["bb"]}.get(t, 0.0) for t in vocab])
@@ -91,7 +91,7 @@ def test_external_model(spark):
 def test_svd_directions_are_orthonormal_and_ordered(planted):
     weights = Pipeline(stages=word_view()).fit(planted).transform(planted).select("key", "features")
     projection, singular = ft.svd_projection(weights, "features", 5, "low")
-    v = np.array(projection.getOrDefault("columns")).reshape(5, -1)
+    v = projection.matrix.T
     assert np.allclose(v @ v.T, np.eye(5), atol=1e-6) and singular == sorted(singular, reverse=True)
     total = projection.transform(weights).select(F.explode(vector_to_array("low")).alias("x")).agg(F.sum(F.col("x") * F.col("x"))).first()[0]
     assert total == pytest.approx(sum(s * s for s in singular), rel=1e-6)
