@@ -311,7 +311,7 @@ def fuse_features(
 
 
 #: Directions fitted beyond those asked for, rounds at most, change of a squared singular value that ends them.
-OVERSAMPLE, ROUNDS, TOLERANCE = 10, 12, 1e-9
+OVERSAMPLE, ROUNDS, TOLERANCE = 10, 6, 1e-7
 #: Features of a block of a product that is summed in one place.
 FEATURE_BLOCK = 8192
 

@@ -35,13 +35,24 @@ def kept(df: DataFrame):
         df.unpersist()
 
 
+@contextmanager
+def by_rows(estimator, dataset: DataFrame):
+    """The estimator with penalty 1 / (c * rows), and the columns it reads, persisted: rows are counted and fitted from one pass."""
+    names = [estimator.getFeaturesCol(), estimator.getLabelCol()]
+    if estimator.isSet(estimator.weightCol):
+        names.append(estimator.getWeightCol())
+    with kept(dataset.select(*names)) as rows:
+        yield estimator.copy({estimator.regParam: 1.0 / (estimator.c * max(rows.count(), 1))}), rows
+
+
 class LogisticByRows(LogisticRegression):
     """Logistic regression with inverse strength ``c``: its penalty is 1 / (c * rows of the fit)."""
 
     c = 1.0
 
     def _fit(self, dataset: DataFrame):
-        return super(LogisticByRows, self.copy({self.regParam: 1.0 / (self.c * max(dataset.count(), 1))}))._fit(dataset)
+        with by_rows(self, dataset) as (own, rows):
+            return super(LogisticByRows, own)._fit(rows)
 
 
 class SvmByRows(LinearSVC):
@@ -50,7 +61,8 @@ class SvmByRows(LinearSVC):
     c = 1.0
 
     def _fit(self, dataset: DataFrame):
-        return super(SvmByRows, self.copy({self.regParam: 1.0 / (self.c * max(dataset.count(), 1))}))._fit(dataset)
+        with by_rows(self, dataset) as (own, rows):
+            return super(SvmByRows, own)._fit(rows)
 
 
 def logistic(c: float = 1.0, max_iter: int = 100, **params) -> LogisticByRows:
