@@ -19,7 +19,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from inkwell.operators.features import RandomFourierFeatures, tfidf_stages
@@ -35,14 +35,25 @@ def kept(df: DataFrame):
         df.unpersist()
 
 
+#: Bytes of stored vector elements that one task of a fit works on; smaller inputs take fewer tasks.
+FIT_BYTES = 16 << 20
+
+
 @contextmanager
 def by_rows(estimator, dataset: DataFrame):
-    """The estimator with penalty 1 / (c * rows), and the columns it reads, persisted: rows are counted and fitted from one pass."""
+    """The estimator with penalty 1 / (c * rows), and the columns it reads, persisted.
+
+    One pass counts rows and vector elements.  Every iteration of a fit is a job over all
+    partitions, so a table of few elements is fitted in few of them.
+    """
     names = [estimator.getFeaturesCol(), estimator.getLabelCol()]
     if estimator.isSet(estimator.weightCol):
         names.append(estimator.getWeightCol())
     with kept(dataset.select(*names)) as rows:
-        yield estimator.copy({estimator.regParam: 1.0 / (estimator.c * max(rows.count(), 1))}), rows
+        elements = F.size(F.unwrap_udt(names[0])["values"])
+        n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(elements), F.lit(0))).first()
+        fitted = rows.coalesce(max(1, -(-size * 12 // FIT_BYTES)))  # never more partitions than there are
+        yield estimator.copy({estimator.regParam: 1.0 / (estimator.c * max(n, 1))}), fitted
 
 
 class LogisticByRows(LogisticRegression):
@@ -137,20 +148,33 @@ def _without_outputs(df: DataFrame) -> DataFrame:
     return df.drop("rawPrediction", "probability", "prediction")
 
 
+#: Gives the fitted view of the text for a named held-out set (None: nothing held out).
+Views = Callable[[str | None], Model]
+
+
+def _seen(views: Views | None, held: str | None, df: DataFrame) -> DataFrame:
+    """The features of a frame by a view that never saw the held-out rows; frames that have features pass."""
+    return df if views is None else views(held).transform(df)
+
+
 def calibrate_scores(
-    train: DataFrame, score: DataFrame, base: Estimator, fold_col: str, k: int = 3
+    train: DataFrame, score: DataFrame, base: Estimator, fold_col: str, k: int = 3, views: Views | None = None, outer: str | None = None
 ) -> DataFrame:
     """Sigmoid-calibrated probability: mean over folds of (base, sigmoid) pairs.
 
-    Each sigmoid is fitted on margins of rows its base model never saw.
+    Each sigmoid is fitted on margins of rows its base model never saw.  With ``views``,
+    the frames carry texts, and the vocabulary of a fold has not seen its rows either,
+    nor those of the held-out set ``outer`` around it.
     """
     assemble = VectorAssembler(inputCols=["margin"], outputCol="_margin")
     probability, out = F.lit(0.0), score
     for fold in range(k):
-        model = base.fit(train.filter(F.col(fold_col) != fold))
-        held_out = assemble.transform(margin(model.transform(train.filter(F.col(fold_col) == fold))))
-        sigmoid = LogisticRegression(featuresCol="_margin").fit(held_out.select("label", "_margin"))
-        scored = sigmoid.transform(_without_outputs(assemble.transform(margin(model.transform(out)))))
+        held = f"{fold_col}={fold}" if outer is None else f"{outer}|{fold_col}={fold}"
+        with kept(_seen(views, held, train)) as rows:
+            model = base.fit(rows.filter(F.col(fold_col) != fold))
+            held_out = assemble.transform(margin(model.transform(rows.filter(F.col(fold_col) == fold))))
+            sigmoid = LogisticRegression(featuresCol="_margin").fit(held_out.select("label", "_margin"))
+        scored = sigmoid.transform(_without_outputs(assemble.transform(margin(model.transform(_seen(views, held, out))))))
         out = _without_outputs(
             scored.withColumn(f"_p{fold}", vector_to_array("probability")[1])
         ).drop("margin", "_margin")
@@ -164,13 +188,34 @@ def _positive_score(scored: DataFrame, out: str) -> DataFrame:
     return _without_outputs(scored.withColumn(out, vector_to_array(column)[1]))
 
 
-def out_of_fold(train: DataFrame, bases: dict[str, Estimator], key_col: str, fold_col: str, k: int) -> DataFrame:
-    """``(key, label, *base scores)`` where no base scored a row it was fitted on."""
+class Calibrated:
+    """A base of a stack whose margins become probabilities by sigmoids fitted on other folds."""
+
+    def __init__(self, base: Estimator, fold_col: str, k: int = 3):
+        self.base, self.fold_col, self.k = base, fold_col, k
+
+
+def _scored_by(
+    base: Estimator | Calibrated, train: DataFrame, score: DataFrame, out: str, views: Views | None, held: str | None
+) -> DataFrame:
+    """``score`` with a column of positive scores of a base fitted on ``train``."""
+    if isinstance(base, Calibrated):
+        done = calibrate_scores(train, score, base.base, base.fold_col, base.k, views, held)
+        return done.withColumn(out, F.col("probability")).drop("probability", "prediction")
+    with kept(_seen(views, held, train)) as rows:
+        model = base.fit(rows)
+    return _positive_score(model.transform(_seen(views, held, score)), out)
+
+
+def out_of_fold(
+    train: DataFrame, bases: dict[str, Estimator | Calibrated], key_col: str, fold_col: str, k: int, views: Views | None = None
+) -> DataFrame:
+    """``(key, label, *base scores)`` where no base, and no vocabulary, scored a row it had seen."""
     parts = []
     for fold in range(k):
-        part = train.filter(F.col(fold_col) == fold)
+        part, rest = train.filter(F.col(fold_col) == fold), train.filter(F.col(fold_col) != fold)
         for name, base in bases.items():
-            part = _positive_score(base.fit(train.filter(F.col(fold_col) != fold)).transform(part), name)
+            part = _scored_by(base, rest, part, name, views, f"{fold_col}={fold}")
         parts.append(part.select(key_col, "label", *bases))
     whole = parts[0]
     for part in parts[1:]:
@@ -179,16 +224,16 @@ def out_of_fold(train: DataFrame, bases: dict[str, Estimator], key_col: str, fol
 
 
 def stack_models(
-    train: DataFrame, score: DataFrame, bases: dict[str, Estimator], key_col: str, fold_col: str, k: int = 3
+    train: DataFrame, score: DataFrame, bases: dict[str, Estimator | Calibrated], key_col: str, fold_col: str, k: int = 3,
+    views: Views | None = None,
 ) -> DataFrame:
     """Logistic meta model over out-of-fold base scores, applied to ``score``."""
     assemble = VectorAssembler(inputCols=list(bases), outputCol="_stack")
-    meta = LogisticRegression(featuresCol="_stack").fit(
-        assemble.transform(out_of_fold(train, bases, key_col, fold_col, k))
-    )
+    with kept(assemble.transform(out_of_fold(train, bases, key_col, fold_col, k, views))) as stacked:
+        meta = LogisticRegression(featuresCol="_stack").fit(stacked)
     out = score
     for name, base in bases.items():
-        out = _positive_score(base.fit(train).transform(out), name)
+        out = _scored_by(base, train, out, name, views, None)
     return meta.transform(assemble.transform(out)).drop("_stack", "rawPrediction", *bases)
 
 
@@ -225,7 +270,11 @@ def grid_search(
     tasks = [(place, fold) for place in range(len(configs)) for fold in folds]
     with ThreadPoolExecutor(parallelism) as pool:
         results = list(pool.map(run, tasks))
-    spark = folds[0][0].sparkSession
+    return run_table(folds[0][0].sparkSession, configs, results)
+
+
+def run_table(spark: SparkSession, configs: Sequence[dict], results: Sequence[tuple[int, float]]) -> DataFrame:
+    """``(config, mean_accuracy, std_accuracy, folds)`` of (place of a configuration, accuracy) pairs."""
     named = [(", ".join(f"{k}={v}" for k, v in configs[p].items()), a) for p, a in results]
     runs = spark.createDataFrame(named, "config string, accuracy double")
     return runs.groupBy("config").agg(

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from inkwell.functions import text as tx
-from inkwell.operators import evaluate as ev, features as ft, models as md, splits as sp, terms as tm, topics as tp
+from inkwell.operators import evaluate as ev, features as ft, folding as fd, models as md, splits as sp, terms as tm, topics as tp
 from inkwell.operators.counting import Analyzer
 from inkwell.plans.intake import PREDICTIONS_SQL, predictions
 from inkwell.plans.registry import query
@@ -199,7 +199,7 @@ def tree_ensembles(spark, d):
     projection, _ = ft.svd_projection(_parts(weighted)[0], "features", 100, "low")
     train, test = _parts(written(projection.transform(weighted).drop("features"), "low"))
     forest = md.random_forest(200, 0, featuresCol="low").fit(train)
-    boosted = md.boosted_trees(300, 4, 0.05, 0.8, 0, featuresCol="low").fit(train)
+    boosted = md.boosted_trees(50, 4, 0.05, 0.8, 0, featuresCol="low").fit(train)
     scored = forest.transform(test).select("doc_id", "label", "low", F.col("prediction").alias("forest"))
     return boosted.transform(scored).select("doc_id", "label", F.col("forest"), F.col("prediction").alias("boosted"))
 
@@ -213,53 +213,75 @@ def kernel_svm_rbf(spark, d):
     return ev.predict_table(model, _parts(split)[1], "vec_id", ["label"])
 
 
-def _folded(spark, d, k: int) -> DataFrame:
-    """Word features with a stratified fold, as a table that fits are run on."""
-    df = _labelled(spark, d)
-    features = Pipeline(stages=_word_view()).fit(_parts(df)[0]).transform(df)
-    narrow = features.select("doc_id", "label", "split", "outlet", "features")
-    return written(sp.repeated_folds(narrow, "outlet", "doc_id", k, 1, 3).drop("outlet"), "folds")
+def _folded(spark, d, k: int, repeats: int = 2) -> DataFrame:
+    """Texts with a stratified fold per repeat, as a narrow table."""
+    rows = _labelled(spark, d).select("doc_id", "label", "split", "outlet", "text_clean")
+    return written(sp.repeated_folds(rows, "outlet", "doc_id", k, repeats, 3).drop("outlet"), "folds")
+
+
+#: Words in two documents or more, without those in nearly all.
+LIMITS = {"min_df": 2, "max_df": 0.95}
 
 
 @query()
 def calibrate_scores(spark, d):
-    train, test = _parts(_folded(spark, d, 3))
-    out = md.calibrate_scores(train, test.select("doc_id", "label", "features"), md.linear_svm(1.0), "fold_0", 3)
+    """Three folds; the vocabulary of each has not seen the rows that its sigmoid is fitted on."""
+    train, test = _parts(_folded(spark, d, 3, 1))
+    counts = fd.HeldOutCounts(train, "text_clean", Analyzer(), fd.fold_conditions(["fold_0"], 3), 2)
+    view = lambda held: counts.view(held, **LIMITS)
+    score = test.select("doc_id", "label", "text_clean")
+    out = md.calibrate_scores(train, score, md.linear_svm(1.0), "fold_0", 3, view)
     return out.select("doc_id", "label", "probability", "prediction")
 
 
 @query()
 def stack_models(spark, d):
-    train, test = _parts(_folded(spark, d, 3))
-    bases = {"svm": md.linear_svm(1.0), "logistic": md.logistic(1.0), "bayes": md.naive_bayes("multinomial")}
-    out = md.stack_models(train, test.select("doc_id", "label", "features"), bases, "doc_id", "fold_0", 3)
+    """Calibrated margins and two probabilities; every base and its vocabulary are fitted per fold."""
+    train, test = _parts(_folded(spark, d, 3, 2))
+    counts = fd.HeldOutCounts(train, "text_clean", Analyzer(), fd.nested_conditions("fold_0", "fold_1", 3), 2)
+    view = lambda held: counts.view(held, **LIMITS)
+    bases = {
+        "svm": md.Calibrated(md.linear_svm(1.0, 25), "fold_1", 3), "logistic": md.logistic(1.0, 25), "bayes": md.naive_bayes("multinomial")
+    }
+    score = test.select("doc_id", "label", "text_clean")
+    out = md.stack_models(train, score, bases, "doc_id", "fold_0", 3, view)
     return out.select("doc_id", "label", vector_to_array("probability")[1].alias("probability"), "prediction")
 
 
 @query()
 def grid_search(spark, d):
-    """Regularisation grid under rolling folds."""
+    """Regularisation and n-gram grid under rolling folds, each with the vocabulary of its own prefix."""
     rows = articles(spark, d).select("doc_id", "title", "outlet", "ts")
     df = ft.text_views(rows.withColumn("label", (F.col("outlet") == "A").cast("double")), "title")
-    df = written(sp.rolling_slices(df.drop("title"), "ts", "doc_id", 3), "slices")
-    # The first prefix is in every training fold, so a vocabulary from it leaks nothing.
-    view = Pipeline(stages=_word_view()).fit(df.filter("slice = 0"))
-    sliced = written(view.transform(df).select("doc_id", "label", "slice", "features"), "features")
-    folds = md.prefix_folds(sliced, 3)
-    return md.grid_search(folds, lambda c: md.logistic(c["c"]), md.grid(c=[0.1, 1.0, 10.0]))
+    df = written(sp.rolling_slices(df.select("doc_id", "label", "ts", "text_clean"), "ts", "doc_id", 3).select("label", "text_clean", "slice"), "slices")
+    slot = F.col("slice")
+    later = {f"after {i}": slot.isNull() | (slot > i) for i in range(3)}
+    counts = fd.HeldOutCounts(df, "text_clean", Analyzer(n_max=2), later, 2)
+    folds = {f"after {i}": (slot <= i, slot == i + 1) for i in range(3)}
+    configs = md.grid(n_max=[1, 2], **{k: [v] for k, v in LIMITS.items()}, c=[0.1, 1.0, 10.0])
+    return fd.search(df, counts, folds, configs, lambda c: md.logistic(c["c"]))
 
 
 @query()
-def random_search(spark, d):
-    """Seeded draw from a product grid of text and model settings."""
-    train, test = _parts(_labelled(spark, d))
-    configs = md.grid(min_df=[1, 2], n_max=[1, 2], c=[0.1, 1.0])
+def repeated_grid_search(spark, d):
+    """The grid under stratified 5-fold cross-validation, three times over."""
+    train = _parts(_folded(spark, d, 5, 3))[0]
+    folds = fd.fold_conditions(["fold_0", "fold_1", "fold_2"], 5)
+    counts = fd.HeldOutCounts(train, "text_clean", Analyzer(n_max=2), folds, 2)
+    configs = md.grid(n_max=[1, 2], **{k: [v] for k, v in LIMITS.items()}, c=[0.1, 1.0])
+    return fd.search(train.drop("doc_id", "split"), counts, fd.train_only(folds), configs, lambda c: md.logistic(c["c"], 25))
 
-    def make(config):
-        view = ft.tfidf_stages("text_clean", "features", n_max=config["n_max"], min_df=config["min_df"])
-        return Pipeline(stages=[*view, md.logistic(config["c"])])
 
-    return md.grid_search([(train, test)], make, md.draw_configs(configs, 3, 0))
+@query()
+def random_search(spark, d):
+    """A hundred seeded draws from a product grid of text and model settings, judged on the held-out part."""
+    df = _labelled(spark, d).select("label", "text_clean", "split")
+    test = {"test": F.col("split") == "test"}
+    counts = fd.HeldOutCounts(df, "text_clean", Analyzer(n_max=3), test, 2)
+    configs = md.grid(
+        n_max=[1, 2, 3], min_df=[2, 5], max_df=[0.95, 0.7], sublinear=[True, False], c=[0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0]
+    )
+    return fd.search(df, counts, fd.train_only(test), md.draw_configs(configs, 100, 0), lambda c: md.logistic(c["c"], 25))
 
 
 @query()
