@@ -27,6 +27,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def enclosed(docs: DataFrame, **named: str) -> DataFrame:
+    """The named columns under fixed names, and all columns of the row in one struct ``own``.
+
+    Helper columns added to it cannot clash with the documents' own.
+    """
+    return docs.select(*(F.col(c).alias(name) for name, c in named.items()), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"))
+
+
 def components(links: DataFrame, label: str = "links") -> DataFrame:
     """(node, component) for every node of the links (a, b); component is the smallest reachable node.
 

@@ -19,7 +19,7 @@ import random
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from inkwell.llm.common import SPACE_CLASS, stored, table
+from inkwell.llm.common import SPACE_CLASS, enclosed, stored, table
 
 WEIGHTS = (3, 1, 2)
 #: Documents of a source whose flight is one task.
@@ -175,19 +175,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns."""
+    """The documents as often as the mix takes them, with their own columns, whatever their names.
+
+    Null and wordless texts have size 0 and are taken as their source's rate says; a null
+    source is a source; rows equal in id and text share their copies between them.
+    """
     taken = mix(docs, id_col, text_col, source_col)
     # rows that are equal in id and text share their copies
     shared = stored(taken.groupBy("row_hash").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "copies")
-    keyed = docs.withColumn("_key", F.xxhash64(id_col, text_col))
-    joined = keyed.join(shared.withColumnRenamed("row_hash", "_key"), "_key")
+    keyed = enclosed(docs, id=id_col, text=text_col).select("id", F.xxhash64("id", "text").alias("key"), "own")
+    joined = keyed.join(shared.withColumnRenamed("row_hash", "key"), "key")
     single = joined.where(F.col("_copies") % F.col("_rows") == 0).withColumn("_take", F.expr("_copies div _rows"))
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy(id_col))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("id"))
     several = joined.where(F.col("_copies") % F.col("_rows") != 0).withColumn(
         "_take", F.expr("_copies div _rows") + F.when(turn <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
     )
     rows = single.unionByName(several).where("_take > 0")
-    return rows.withColumn("_take", F.explode(F.sequence(F.lit(1), F.col("_take").cast("int")))).select(*docs.columns)
+    return rows.withColumn("_take", F.explode(F.sequence(F.lit(1), F.col("_take").cast("int")))).select("own.*")
 
 
 def op4_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

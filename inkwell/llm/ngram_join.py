@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from inkwell.llm.common import components, stored, table
+from inkwell.llm.common import components, enclosed, stored, table
 from inkwell.llm.shingles import mixed, shingle_sets
 from inkwell.llm.tokens import release, sliced
 
@@ -239,14 +239,17 @@ def similar_texts(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies: of each component the row with the smallest id stays.
 
-    Of rows that repeat an id one stays; rows with a null id stay.
+    Of rows that repeat an id one stays; rows with a null id stay.  Null, empty and
+    wordless texts are near copies of nothing; other columns are kept as they are,
+    whatever their names.
     """
     found = stored(similar_texts(docs, id_col, text_col), "near-copies")
     ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m"), F.min("component_id").alias("c"))
     ids = stored(ids.where("m > 1 OR c <> doc_id").select(F.col("doc_id").alias("_id"), (F.col("c") == F.col("doc_id")).alias("_first")), "not-single")
-    single = docs.join(ids, F.col(id_col) == F.col("_id"), "left_anti")
-    again = docs.join(ids.where("_first").select("_id"), F.col(id_col) == F.col("_id"), "left_semi")
-    return single.unionByName(again.dropDuplicates([id_col]))
+    rows = enclosed(docs, id=id_col)
+    single = rows.join(ids, F.col("id") == F.col("_id"), "left_anti")
+    again = rows.join(ids.where("_first").select("_id"), F.col("id") == F.col("_id"), "left_semi")
+    return single.unionByName(again.dropDuplicates(["id"])).select("own.*")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

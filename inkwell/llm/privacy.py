@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkwell.llm.common import stored, table
+from inkwell.llm.common import enclosed, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -194,8 +194,12 @@ def _listed(spans: str) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; the outermost of overlapping spans counts."""
-    rows = find_personal_data(docs, id_col, text_col)
+    """The documents with every span replaced by its kind in brackets; the outermost of overlapping spans counts.
+
+    Texts without spans, null and empty ones among them, stay as they are; rows equal in
+    id and text are changed alike; other columns are kept, whatever their names.
+    """
+    rows = find_personal_data(enclosed(docs, id=id_col, text=text_col), "id", "text")
     by_start = F.sort_array(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     zero = F.struct(F.lit(0).alias("done"), F.lit("").alias("text"))
 
@@ -205,7 +209,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return F.when(s["start"] >= state["done"], more).otherwise(F.struct(F.greatest(state["done"], -s["back"]).alias("done"), state["text"].alias("text")))
 
     clean = F.aggregate(by_start, zero, step, lambda s: F.concat(s["text"], F.substring(F.col("_text"), s["done"] + 1, F.char_length("_text"))))
-    return rows.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
+    changed = F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))
+    return rows.select(*(changed.alias(c) if c == text_col else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
 
 
 def op5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
