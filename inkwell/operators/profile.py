@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from inkwell.functions.text import is_missing
 from inkwell.functions.urls import page_kind
+from inkwell.operators.quantiles import group_quantiles
 
 # Weekday order of posting profiles.
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -66,19 +67,18 @@ def grouped_summary(df: DataFrame, by: Sequence[str], aggs: dict[str, Column], d
 def describe_by(df: DataFrame, by: Sequence[str], col: str, exact: bool = True) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per group.
 
-    Exact quartiles keep one counter per distinct value and group, which suits
-    lengths and counts; for a continuous column pass ``exact=False``.
+    Exact quartiles narrow value ranges (:mod:`inkwell.operators.quantiles`); ``exact=False``
+    estimates them in the same pass as the rest.
     """
-    points = F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])
-    quartiles = F.percentile(col, points) if exact else F.percentile_approx(col, points, 100_000)
-    return (
-        _present(df, [*by, col]).groupBy(*by)
-        .agg(
-            F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-            F.min(col).alias("min"), quartiles.alias("_q"), F.max(col).alias("max"),
-        )
-        .withColumns({"p25": F.col("_q")[0], "p50": F.col("_q")[1], "p75": F.col("_q")[2]})
-        .drop("_q")
+    rows = _present(df, [*by, col])
+    points = (0.25, 0.5, 0.75)
+    named = [F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max")]
+    if exact:
+        out = rows.groupBy(*by).agg(*named).join(group_quantiles(rows, by, col, points, "_q"), list(by))
+    else:
+        out = rows.groupBy(*by).agg(*named, F.percentile_approx(col, F.array(*map(F.lit, points)), 100_000).alias("_q"))
+    return out.select(
+        *by, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max"
     )
 
 
@@ -210,9 +210,9 @@ def histogram(df: DataFrame, col: str, width: float, by: str) -> DataFrame:
     rows = _present(df, [by, col])
     counts = rows.groupBy(by, F.floor(F.col(col) / F.lit(width)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy(by))
-    medians = rows.groupBy(by).agg(F.median(col).alias("median"))
+    medians = group_quantiles(rows, [by], col, [0.5])
     return counts.withColumn("density", F.col("n") / (total * F.lit(width))).join(medians, by).select(
-        by, (F.col("bin") * F.lit(width)).alias("bin_start"), "n", "density", "median"
+        by, (F.col("bin") * F.lit(width)).alias("bin_start"), "n", "density", F.col("quantiles")[0].alias("median")
     )
 
 
