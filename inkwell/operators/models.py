@@ -167,13 +167,18 @@ def calibrate_scores(
     nor those of the held-out set ``outer`` around it.
     """
     assemble = VectorAssembler(inputCols=["margin"], outputCol="_margin")
-    probability, out = F.lit(0.0), score
-    for fold in range(k):
+
+    def fitted(fold: int) -> tuple[str, Model, Model]:
         held = f"{fold_col}={fold}" if outer is None else f"{outer}|{fold_col}={fold}"
         with kept(_seen(views, held, train)) as rows:
             model = base.fit(rows.filter(F.col(fold_col) != fold))
             held_out = assemble.transform(margin(model.transform(rows.filter(F.col(fold_col) == fold))))
-            sigmoid = LogisticRegression(featuresCol="_margin").fit(held_out.select("label", "_margin"))
+            return held, model, LogisticRegression(featuresCol="_margin").fit(held_out.select("label", "_margin"))
+
+    with ThreadPoolExecutor(k) as pool:
+        pairs = list(pool.map(fitted, range(k)))
+    probability, out = F.lit(0.0), score
+    for fold, (held, model, sigmoid) in enumerate(pairs):
         scored = sigmoid.transform(_without_outputs(assemble.transform(margin(model.transform(_seen(views, held, out))))))
         out = _without_outputs(
             scored.withColumn(f"_p{fold}", vector_to_array("probability")[1])
@@ -211,12 +216,14 @@ def out_of_fold(
     train: DataFrame, bases: dict[str, Estimator | Calibrated], key_col: str, fold_col: str, k: int, views: Views | None = None
 ) -> DataFrame:
     """``(key, label, *base scores)`` where no base, and no vocabulary, scored a row it had seen."""
-    parts = []
-    for fold in range(k):
+    def scored(fold: int) -> DataFrame:
         part, rest = train.filter(F.col(fold_col) == fold), train.filter(F.col(fold_col) != fold)
         for name, base in bases.items():
             part = _scored_by(base, rest, part, name, views, f"{fold_col}={fold}")
-        parts.append(part.select(key_col, "label", *bases))
+        return part.select(key_col, "label", *bases)
+
+    with ThreadPoolExecutor(k) as pool:
+        parts = list(pool.map(scored, range(k)))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
