@@ -1,24 +1,32 @@
 """Exact Jaccard join of word-shingle sets (operator 10).
 
 Texts with equal sets collapse to one representative first.  A tile holds the
-representatives that share a rare shingle, in bands of size: with the shingles of
-every set in one common order, two sets of similarity t or more share one of
-their first n - ceil(t n) + 1.  The order puts frequent shingles last, as a table
-of counters estimates them, so a passage that many texts share makes no tile.  Within a tile only neighbours by
-size are compared at first; what they link is one component, and only pairs of
-different components that share a tile are compared after that, if what follows
-the shared shingle in the order can still make up the overlap.  A pair is first
-bounded by its bitmap signatures: bits of one that the other lacks stand for
-shingles it lacks.  Pairs that pass are decided by intersecting the sorted sets.
-No pair above the threshold is lost: the estimates only change the order.
+representatives of one band of size, and the larger ones of the next, that share a
+rare shingle: with the shingles of every set in one common order, two sets of
+similarity t or more share one of their first n - ceil(t n) + 1, and as a band
+spans a factor 1 / t, the larger is of the same band or the next.  The order puts
+frequent shingles last, as a table of counters estimates them, so a passage that
+many texts share makes no tile.
+
+A large group of near copies is contracted before pairs are made.  In every round
+each member of a tile meets one pivot of the tile's largest component, and what is
+linked becomes one component; rounds go on while they do away with a fifth of the
+pairs that are left.  Then all pairs of different components that share a tile are
+compared, if what follows the shared shingle in the order can still make up the
+overlap.  A pair is first bounded by its bitmap signatures: bits of one that the
+other lacks stand for shingles it lacks.  Pairs that pass are decided by
+intersecting the sorted sets.  No link between components is lost: the estimates
+only change the order, the rounds only what is already known to be linked.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from inkwell.llm.common import components, enclosed, stored, table
 from inkwell.llm.shingles import mixed, shingle_sets
@@ -28,6 +36,10 @@ from inkwell.llm.tokens import release, sliced
 SIMILAR = (75, 100)
 #: Counters that estimate in how many texts a shingle is: 4 MB, whatever the size of the corpus.
 COUNTERS = 1 << 20
+#: Members of a tile that one task pairs with all others; larger tiles are split by salt.
+SHARE = 1000
+#: Rounds of contraction go on while at most this share of the possible pairs is left.
+WORTH = 0.8
 
 
 def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
@@ -159,6 +171,104 @@ def _decided(pairs: DataFrame, texts: DataFrame, width: int, similar: tuple[int,
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(decide, "a long, b long")
 
 
+def band_limits(similar: tuple[int, int] = SIMILAR) -> list[int]:
+    """The least size of every band; a similar larger set is at most one band up.  Exact, for sizes below 2 ** 40."""
+    more, less = similar[::-1] if 4 * similar[1] >= 5 * similar[0] else (5, 4)
+    limits, k = [], 0
+    while not limits or limits[-1] < 1 << 40:
+        limits.append(-(-(more**k) // less**k))
+        k += 1
+    return limits
+
+
+def _can_be_similar(a: str, b: str, similar: tuple[int, int]) -> Column:
+    """Whether sizes and places (n, place after the prefixes) allow it; exact where the key is the first that both share."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    left = F.least(n - F.col(f"p{a}"), m - F.col(f"p{b}"))
+    return (F.least(n, m) * similar[1] >= F.greatest(n, m) * similar[0]) & ((similar[0] + similar[1]) * left >= similar[0] * (n + m))
+
+
+def _tiles(posted: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Rows (key, band, home, id, n, place, many, pivot) of tiles with two members or more, one of them of the tile's own band.
+
+    ``pivot`` is one member (order, id, n, place) of the tile.  Keys of a single text
+    go before bands are made; bands need no other exchange.
+    """
+    values = band_limits(similar)
+    limits = F.array(*(F.lit(x).cast("long") for x in values))
+    # an estimate of the place in the limits, from 1, put right by the limits themselves
+    near = F.least(F.greatest(F.floor(F.log(F.col("n")) / math.log(values[-1]) * (len(values) - 1)).cast("int") + 1, F.lit(2)), F.lit(len(values) - 1))
+    band = near + (F.col("n") >= F.element_at(limits, near + 1)).cast("int") - (F.col("n") < F.element_at(limits, near)).cast("int")
+    by_key, by_tile = Window.partitionBy("key"), Window.partitionBy("key", "band")
+    shared = posted.where("key IS NOT NULL").select("key", "id", "n", "place").withColumn("m", F.count("*").over(by_key)).where("m > 1").drop("m")
+    banded = shared.withColumn("own", band).select(
+        "key", "id", "n", "place", F.explode(F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")), F.struct((F.col("own") - 1).alias("band"), F.lit(False).alias("home")))).alias("tile"),
+    ).select("key", "tile.band", "tile.home", "id", "n", "place")
+    member = F.struct(F.xxhash64("id", F.lit(0)).alias("order"), "id", "n", "place")
+    return (
+        banded.withColumn("many", F.count("*").over(by_tile)).withColumn("homes", F.sum(F.col("home").cast("long")).over(by_tile))
+        .withColumn("pivot", F.min(member).over(by_tile)).where("many > 1 AND homes > 0").drop("homes")
+    )
+
+
+def _met(tiles: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """A pair (a, b) for every member b: of the pivots that it may be similar to, the one it meets in most tiles."""
+    pairs = tiles.select(
+        F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"),
+        F.col("pivot.id").alias("a"), F.col("pivot.n").alias("na"), F.col("pivot.place").alias("pa"),
+    ).where("a <> b").where(_can_be_similar("a", "b", similar))
+    return pairs.groupBy("b", "a").count().groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def _opened(tiles: DataFrame, groups: DataFrame, turn: int) -> tuple[DataFrame, int]:
+    """The tiles that hold several components, with labels and a new pivot, and how many pairs these allow.
+
+    The pivot is a member of the component with most members in the tile; another one in every turn.
+    """
+    labelled = tiles.drop("many", "pivot", "label").join(groups.withColumnRenamed("node", "id"), "id", "left")
+    labelled = stored(labelled.withColumn("label", F.coalesce("component", "id")).drop("component"), "labelled-tiles")
+    member = F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "n", "place")
+    by_label = labelled.groupBy("key", "band", "label").agg(F.count("*").alias("c"), F.min(member).alias("first"))
+    by_tile = by_label.groupBy("key", "band").agg(
+        F.sum("c").alias("many"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "first", "label")).alias("top")
+    ).where("top.c < many")
+    by_tile = stored(by_tile.select("key", "band", "many", "within", F.col("top.first").alias("pivot"), F.col("top.label").alias("top")), "tile-pivots")
+    possible = by_tile.agg(F.sum(F.col("many") * F.col("many") - F.col("within"))).first()[0]
+    return labelled.join(by_tile.drop("within"), ["key", "band"]), (possible or 0) // 2
+
+
+def _merged(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after more links; known components are single nodes for them."""
+    if groups is None:
+        return stored(components(links), "groups")
+    label = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = stored(components(between).withColumnRenamed("component", "final"), "merged-groups")
+    known = groups.join(merged.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+    alone = merged.join(groups.select("node"), "node", "left_anti").select("node", F.col("final").alias("component"))
+    return stored(known.union(alone), "groups")
+
+
+def _cross_pairs(tiles: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b), a not the larger, of different components in one tile; a is of the tile's own band.
+
+    The smaller members of a tile are dealt out by salt, SHARE to a part, and every part meets all members.
+    """
+    parts = F.ceil(F.col("many") / SHARE).cast("int")
+    left = tiles.where("home").select(
+        "key", "band", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"),
+        F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"),
+    )
+    right = tiles.select(
+        "key", "band", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
+        F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"),
+    )
+    return (
+        left.join(right, ["key", "band", "part"]).where("la <> lb").where("na < nb OR (na = nb AND a < b)")
+        .where(_can_be_similar("a", "b", similar)).select("a", "b").distinct()
+    )
+
+
 def similar_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similar: tuple[int, int] = SIMILAR
 ) -> DataFrame:
@@ -181,54 +291,25 @@ def similar_texts(
     posted = stored(_postings(originals, width, _counters(profile), similar), "postings")
     signatures = posted.where("key IS NULL AND n > 0").drop("key", "place")
 
-    by_key = Window.partitionBy("key")
-    tiles = stored(
-        posted.where("key IS NOT NULL").select("key", "id", "n", "place").withColumn("many", F.count("*").over(by_key)).where("many > 1").drop("many"),
-        "tiles",
-    )
+    tiles = stored(_tiles(posted, similar), "tiles")
     texts_of = stored(originals.join(tiles.select("id").distinct(), "id", "left_semi"), "candidates")
 
     def links_among(pairs: DataFrame, label: str) -> DataFrame:
-        bounded = stored(_bounded(pairs, signatures, similar), f"{label}-bounded")
+        bounded = stored(_bounded(stored(pairs, f"{label}-pairs"), signatures, similar), f"{label}-bounded")
         return stored(_decided(bounded, texts_of, width, similar), label)
 
-    # a neighbour by size in the tile; of each set's neighbours the one met most often
-    near = Window.partitionBy("key").orderBy("n", "id")
-    chained = tiles.withColumn("a", F.lag("id").over(near)).withColumn("na", F.lag("n").over(near))
-    met = chained.where((F.col("na") * similar[1] >= F.col("n") * similar[0]) & (F.col("a") != F.col("id"))).groupBy("id", "a").count()
-    first = met.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
-    found = links_among(stored(first.select("a", "b"), "neighbours"), "near-links")
-
-    # tiles that still hold several components: every pair of different components
-    groups = components(found)
-    labelled = tiles.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-    open_tiles = stored(
-        labelled.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key))
-        .where("low <> high").select("key", "id", "n", "place", "label"),
-        "open-tiles",
-    )
-    left = open_tiles.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
-    right = open_tiles.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
-    pairs = (
-        left.join(right, "key").where("la <> lb")
-        .where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-        .where(F.col("na") * similar[1] >= F.col("nb") * similar[0])
-        # exact where the key is the first that both share, so some tile of a similar pair passes
-        .where((similar[0] + similar[1]) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= similar[0] * (F.col("na") + F.col("nb")))
-        .select("a", "b").distinct()
-    )
-    more = links_among(stored(pairs, "pairs"), "more-links")
-    # components of the first links are single nodes for the second ones, and copies follow their representative
-    groups = stored(groups, "first-groups")
-    label = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    between = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(
-        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")
-    )
-    merged = stored(components(between).withColumnRenamed("component", "final"), "last-groups")
-    first = merged.withColumnRenamed("node", "component")
-    grouped = groups.join(first, "component", "left").select(F.col("node").alias("rep"), F.coalesce("final", "component").alias("root"))
-    alone = merged.join(groups.select("node"), "node", "left_anti").select(F.col("node").alias("rep"), F.col("final").alias("root"))
-    roots = stored(grouped.union(alone), "components")
+    # contraction: members against pivots, while that pays
+    before = (tiles.agg(F.sum(F.col("many") - 1)).first()[0] or 0) // 2
+    groups, turn = _merged(None, links_among(_met(tiles, similar), "pivot-links")), 1
+    tiles, possible = _opened(tiles, groups, turn)
+    while 0 < possible <= WORTH * before:
+        before, turn = possible, turn + 1
+        tiles = stored(tiles, "open-tiles")
+        apart = tiles.where(F.col("label") != F.col("top")).drop("top")
+        groups = _merged(groups, links_among(_met(apart, similar), "pivot-links"))
+        tiles, possible = _opened(tiles.drop("top"), groups, turn)
+    # what is left: every pair of different components
+    roots = _merged(groups, links_among(_cross_pairs(tiles, similar), "cross-links")).select(F.col("node").alias("rep"), F.col("component").alias("root"))
     follows = copies.join(roots, "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("root"))
     named = roots.select(F.col("rep").alias("doc_id"), "root").union(follows)
     return texts.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(named, "doc_id", "left").select(
