@@ -10,8 +10,9 @@ many texts share makes no tile.
 
 A large group of near copies is contracted before pairs are made.  In every round
 each member of a tile meets one pivot of the tile's largest component, and what is
-linked becomes one component; rounds go on while they do away with a fifth of the
-pairs that are left.  Then all pairs of different components that share a tile are
+linked becomes one component.  A pivot is a member that has the shared shingle early
+in its order: few rare shingles, as edits make them, stand before it, so it is near
+the middle of its group.  Then all pairs of different components that share a tile are
 compared, if what follows the shared shingle in the order can still make up the
 overlap.  A pair is first bounded by its bitmap signatures: bits of one that the
 other lacks stand for shingles it lacks.  Pairs that pass are decided by
@@ -38,8 +39,9 @@ SIMILAR = (75, 100)
 COUNTERS = 1 << 20
 #: Members of a tile that one task pairs with all others; larger tiles are split by salt.
 SHARE = 1000
-#: Rounds of contraction go on while at most this share of the possible pairs is left.
-WORTH = 0.8
+#: Rounds of contraction go on while more pairs than this for each text are possible and a round
+#: leaves at most WORTH of them.  Both change the order of work, not the result.
+PER_TEXT, WORTH = 4, 0.95
 
 
 def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
@@ -188,6 +190,12 @@ def _can_be_similar(a: str, b: str, similar: tuple[int, int]) -> Column:
     return (F.least(n, m) * similar[1] >= F.greatest(n, m) * similar[0]) & ((similar[0] + similar[1]) * left >= similar[0] * (n + m))
 
 
+def _member(turn: int) -> Column:
+    """A member as a pivot, the least one best: by place, which later turns blur."""
+    blur = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(100)) * turn
+    return F.struct(((F.col("place") + 1) * (blur + 100)).alias("order"), "id", "n", "place")
+
+
 def _tiles(posted: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """Rows (key, band, home, id, n, place, many, pivot) of tiles with two members or more, one of them of the tile's own band.
 
@@ -204,10 +212,9 @@ def _tiles(posted: DataFrame, similar: tuple[int, int]) -> DataFrame:
     banded = shared.withColumn("own", band).select(
         "key", "id", "n", "place", F.explode(F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")), F.struct((F.col("own") - 1).alias("band"), F.lit(False).alias("home")))).alias("tile"),
     ).select("key", "tile.band", "tile.home", "id", "n", "place")
-    member = F.struct(F.xxhash64("id", F.lit(0)).alias("order"), "id", "n", "place")
     return (
         banded.withColumn("many", F.count("*").over(by_tile)).withColumn("homes", F.sum(F.col("home").cast("long")).over(by_tile))
-        .withColumn("pivot", F.min(member).over(by_tile)).where("many > 1 AND homes > 0").drop("homes")
+        .withColumn("pivot", F.min(_member(0)).over(by_tile)).where("many > 1 AND homes > 0").drop("homes")
     )
 
 
@@ -227,10 +234,9 @@ def _opened(tiles: DataFrame, groups: DataFrame, turn: int) -> tuple[DataFrame,
     """
     labelled = tiles.drop("many", "pivot", "label").join(groups.withColumnRenamed("node", "id"), "id", "left")
     labelled = stored(labelled.withColumn("label", F.coalesce("component", "id")).drop("component"), "labelled-tiles")
-    member = F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "n", "place")
-    by_label = labelled.groupBy("key", "band", "label").agg(F.count("*").alias("c"), F.min(member).alias("first"))
+    by_label = labelled.groupBy("key", "band", "label").agg(F.count("*").alias("c"), F.min(_member(turn)).alias("first"))
     by_tile = by_label.groupBy("key", "band").agg(
-        F.sum("c").alias("many"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "first", "label")).alias("top")
+        F.sum("c").alias("many"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max_by(F.struct("c", "first", "label"), F.struct("c", -F.col("first.order"), "label")).alias("top")
     ).where("top.c < many")
     by_tile = stored(by_tile.select("key", "band", "many", "within", F.col("top.first").alias("pivot"), F.col("top.label").alias("top")), "tile-pivots")
     possible = by_tile.agg(F.sum(F.col("many") * F.col("many") - F.col("within"))).first()[0]
@@ -300,9 +306,10 @@ def similar_texts(
 
     # contraction: members against pivots, while that pays
     before = (tiles.agg(F.sum(F.col("many") - 1)).first()[0] or 0) // 2
+    enough = PER_TEXT * texts_of.count()
     groups, turn = _merged(None, links_among(_met(tiles, similar), "pivot-links")), 1
     tiles, possible = _opened(tiles, groups, turn)
-    while 0 < possible <= WORTH * before:
+    while enough < possible <= WORTH * before:
         before, turn = possible, turn + 1
         tiles = stored(tiles, "open-tiles")
         apart = tiles.where(F.col("label") != F.col("top")).drop("top")
