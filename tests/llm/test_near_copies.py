@@ -1,3 +1,4 @@
+import bisect
 import random
 import re
 
@@ -84,3 +85,10 @@ def test_odd_documents(spark, odd_docs, no_docs):
     groups = {c for _, _, c in brute(rows)}
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(groups, key=repr)
     assert ngram_join.one_of_each(no_docs).count() == 0
+
+
+def test_a_similar_larger_set_is_at_most_one_band_up():
+    limits = ngram_join.band_limits()
+    assert limits == sorted(limits) and limits[0] == 1 and limits[-1] >= 1 << 40
+    for n in [*range(1, 3000), 10**6 - 1, 10**9, 3 * 10**11]:
+        assert bisect.bisect_right(limits, n * 4 // 3) - bisect.bisect_right(limits, n) in (0, 1)
