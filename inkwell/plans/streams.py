@@ -16,7 +16,8 @@ from inkwell.streaming import articles as st
 
 
 def _stream(spark, d, name):
-    return st.read_stream(spark, d, table(spark, d, name).schema, f"{name}.parquet")
+    # a table is one file or a folder of files; a glob is listed in either case
+    return st.read_stream(spark, f"{d}/{name}.parque[t]", table(spark, d, name).schema)
 
 
 def _drained(spark, stream, label):
