@@ -133,3 +133,27 @@ def test_fused_features_list_both_sides(spark):
         ft.fuse_features(style, vectors, "key", ["s"], "e")
     both = ft.fuse_features(style.filter("key = 2"), vectors.filter("key = 2"), "key", ["s"], "e").collect()
     assert [list(r["features"]) for r in both] == [[2.0, 5.0, 6.0]]
+
+
+def test_joined_rows_keep_their_columns(monkeypatch, spark, texts):
+    """Vectors, repeated keys and null columns travel with a batch through the join."""
+    vocabulary = ct.Vocabulary.fit(texts, "text", Analyzer())
+    marked = texts.unionByName(texts).withColumn("own", array_to_vector(F.array(F.col("key").cast("double")))).withColumn("none", F.lit(None).cast("string"))
+    looked_up = ct.weighted(marked, "text", Analyzer(), vocabulary, True, "v")
+    monkeypatch.setattr(ct, "LOOKUP_BYTES", 0)
+    joined = ct.weighted(marked, "text", Analyzer(), vocabulary, True, "v")
+    assert joined.schema == looked_up.schema
+    plain = lambda df: sorted((r["key"], r["text"] or "", r["none"], list(r["own"]), [round(x, 9) for x in r["v"].toArray()]) for r in df.collect())
+    assert plain(joined) == plain(looked_up) and len(plain(joined)) == 2 * len(TEXTS)
+
+
+def test_a_term_meets_the_vocabulary_once_a_batch(monkeypatch, spark):
+    """Rows that share their terms don't each send them through the join."""
+    monkeypatch.setattr(ct, "LOOKUP_BYTES", 0)
+    same = spark.range(400, numPartitions=2).select(F.col("id").alias("key"), F.lit("one two three four").alias("text"))
+    vocabulary = ct.Vocabulary.fit(same, "text", Analyzer())
+    met = []
+    joined = type(same).join
+    monkeypatch.setattr(type(same), "join", lambda self, *a, **k: met.append(self) or joined(self, *a, **k))
+    assert ct.weighted(same, "text", Analyzer(), vocabulary, True, "v").count() == 400
+    assert sum(df.count() for df in met) < 50
