@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from inkwell.functions.text import squeeze, strip, unescape
 from inkwell.functions.urls import section_from_url, urls_same_story
@@ -104,22 +103,18 @@ def body_fields(
 
     ``wanted`` maps a field to ``(tag, class or None, enclosing tag or None)``.
     """
-    narrow = pages.select(key_col, html_col, *keep)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, html in zip(batch[key_col], batch[html_col]):
-                found = _FirstMatch(wanted)
-                found.feed(html or "")
-                found.close()
-                rows.append([key, *(" ".join(found.texts.get(f, [])) or None for f in wanted)])
-            out = pd.DataFrame(rows, columns=[key_col, *wanted])
-            yield out.assign(**{c: batch[c].to_numpy() for c in keep})
-
-    typed = lambda c: f"`{c}` {narrow.schema[c].dataType.simpleString()}"
-    schema = ", ".join([typed(key_col), *(f"`{f}` string" for f in wanted), *map(typed, keep)])
-    return narrow.mapInPandas(run, schema)
+    fields = T.StructType([T.StructField(f, T.StringType()) for f in wanted])
+
+    # a plain function gets a hundred pages at a time; Arrow batches hold up to ten thousand whole pages
+    @F.udf(fields, useArrow=False)
+    def parsed(html: str | None) -> tuple:
+        found = _FirstMatch(wanted)
+        found.feed(html or "")
+        found.close()
+        return tuple(" ".join(found.texts.get(f, [])) or None for f in wanted)
+
+    found = pages.select(key_col, parsed(html_col).alias("_found"), *keep)
+    return found.select(key_col, *[F.col("_found")[f].alias(f) for f in wanted], *keep)
 
 
 def first_paragraph(pages: DataFrame, key_col: str, html_col: str = "html") -> DataFrame:

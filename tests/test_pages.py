@@ -98,3 +98,13 @@ def test_jsonld_and_priority(spark):
     offers = pg.jsonld_candidates(pg.jsonld_entities(df, "page_id"), "page_id")
     got = {r["field"]: r["value"] for r in pg.resolve_fields(offers, "page_id", pg.TYPE_ORDER).collect()}
     assert got == {"title": "Live", "author": "Ann", "datetime_posted": "2024-01-01"}
+
+
+def test_pages_reach_python_in_small_batches(spark):
+    """Whole pages are parsed a hundred at a time, not in Arrow batches of up to ten thousand."""
+    rows = [(i, f"<html><body><p>a{i}</p><article><p>b <i>{i}</i></p></article></body></html>") for i in range(5)] + [(5, None), (5, "<p>x"), (None, "<body><p> </p><p>y</p>")]
+    found = pg.first_paragraph(spark.createDataFrame(rows, "page_id int, html string"), "page_id")
+    got = sorted(((r["page_id"], r["first_paragraph"]) for r in found.collect()), key=str)
+    assert got == sorted([*((i, f"b {i}") for i in range(5)), (5, None), (5, "x"), (None, None)], key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "MapInPandas" not in plan and "Arrow" not in plan
