@@ -157,3 +157,16 @@ def test_a_term_meets_the_vocabulary_once_a_batch(monkeypatch, spark):
     monkeypatch.setattr(type(same), "join", lambda self, *a, **k: met.append(self) or joined(self, *a, **k))
     assert ct.weighted(same, "text", Analyzer(), vocabulary, True, "v").count() == 400
     assert sum(df.count() for df in met) < 50
+
+
+def test_word_totals_merge_rows_of_one_key(spark):
+    from inkwell.operators import terms as tm
+
+    rows = [(1, "aa bb aa"), (2, "aa"), (2, "aa cc"), (None, "cc"), (None, "cc dd"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "key int, text string")
+    grouped = tm.term_counts(df, "key", tm.word_ngrams(F.col("text"), 1, 2)).groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("docs"))
+    got = tm.term_totals(df, "key", "text", Analyzer(n_max=2))
+    as_set = lambda found: {(r["term"], r["n"], r["docs"]) for r in found.collect()}
+    assert as_set(got) == as_set(grouped) and ("aa", 4, 2) in as_set(got) and ("cc", 3, 2) in as_set(got)
+    exploded = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "_tokens" in line and "MapInArrow" in line]
+    assert exploded  # rows are counted in place
