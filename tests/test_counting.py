@@ -170,3 +170,22 @@ def test_word_totals_merge_rows_of_one_key(spark):
     assert as_set(got) == as_set(grouped) and ("aa", 4, 2) in as_set(got) and ("cc", 3, 2) in as_set(got)
     exploded = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "_tokens" in line and "MapInArrow" in line]
     assert exploded  # rows are counted in place
+
+
+def test_directions_in_feature_blocks(monkeypatch, spark):
+    """A matrix that stays in tables gives the directions and projections of one that is held whole."""
+    rnd = np.random.default_rng(3)
+    x = (rnd.standard_normal((120, 6)) * [9, 7, 5, 3, 2, 1]) @ rnd.standard_normal((6, 70)) + 0.01 * rnd.standard_normal((120, 70))
+    x[rnd.random((120, 70)) < 0.3] = 0
+    x[5] = 0
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "key int, a array<double>").select("key", array_to_vector("a").alias("v")).repartition(3)
+    whole, values = ft.svd_projection(df, "v", 4, "low")
+    for name, limit in (("MATRIX_BYTES", 0), ("FEATURE_BLOCK", 16), ("ROW_BLOCK", 500), ("RECORD", 200)):
+        monkeypatch.setattr(ft, name, limit)
+    monkeypatch.setattr(ft, "_gram_product", lambda *a: pytest.fail("held whole"))
+    blocks, again = ft.svd_projection(df, "v", 4, "low")
+    assert np.allclose(again, values, rtol=1e-6)
+    plain = lambda model: {r["key"]: (r["low"].toArray(), r["v"].toArray()) for r in model.transform(df).collect()}
+    want, got = plain(whole), plain(blocks)
+    assert got.keys() == want.keys() == set(range(120))
+    assert all(np.allclose(got[i][0], want[i][0], atol=1e-3) and np.array_equal(got[i][1], x[i]) for i in got)
