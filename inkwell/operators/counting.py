@@ -7,8 +7,8 @@ task for the vocabulary; weights are looked up and normalised next to the counts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -57,13 +57,10 @@ class Analyzer:
 
     def counted(self, lists: pa.ListArray) -> "Counts":
         """Counts of the terms of every row."""
-        offsets = lists.offsets.to_numpy()
-        sizes = np.diff(offsets) * (lists.is_valid().to_numpy(zero_copy_only=False))
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        units = lists.flatten().dictionary_encode()
+        rows, units = _flat(lists)
         codes = units.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         cut = self._word_grams if self.kind == "word" else self._char_grams
-        return Counts.of(len(sizes), *cut(rows, codes, units.dictionary))
+        return Counts.of(len(lists), *cut(rows, codes, units.dictionary))
 
     def _word_grams(self, rows, codes, names):
         """(rows, terms, times, names): an n-gram extends the one of length n - 1 at its place by one token."""
@@ -131,6 +128,62 @@ class Counts:
         return [pa.ListArray.from_arrays(offsets, column) for column in columns]
 
 
+class Phrases:
+    """Word n-grams as paths of word numbers: they are found in texts by numbers alone, without making their texts."""
+
+    def __init__(self, terms: pa.Array):
+        lists = pc.split_pattern(terms, " ")
+        offsets, units = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        codes, lengths = units.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets)
+        self.size, self.words, self.width = max(len(terms), 1), units.dictionary, max(len(units.dictionary), 1)
+        #: For each length, the sorted keys (path of the words before, last word), and the term that ends there or -1.
+        self.keys, self.ends = [], []
+        path, alive = np.zeros(len(lengths), np.int64), np.arange(len(lengths))
+        for n in range(1, int(lengths.max(initial=0)) + 1):
+            alive = alive[lengths[alive] >= n]
+            keys, path[alive] = np.unique(path[alive] * self.width + codes[offsets[alive] + n - 1], return_inverse=True)
+            last = alive[lengths[alive] == n]
+            ends = np.full(len(keys), -1, np.int64)
+            ends[path[last]] = last
+            self.keys.append(keys)
+            self.ends.append(ends)
+
+    def walk(self, lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length, (row of every token, places of tokens where a path starts, paths)."""
+        rows, units = _flat(lists)
+        known = pc.index_in(units.dictionary, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = known[units.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(words >= 0)
+        paths = np.zeros(len(starts), np.int64)
+        for n, keys in enumerate(self.keys):
+            inside = starts + n < len(rows)
+            starts, paths = starts[inside], paths[inside]
+            going = (rows[starts] == rows[starts + n]) & (words[starts + n] >= 0)
+            starts, paths = starts[going], paths[going]
+            wanted = paths * self.width + words[starts + n]
+            at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+            found = keys[at] == wanted
+            starts, paths = starts[found], at[found]
+            yield rows, starts, paths
+
+    def counted(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, terms, counts) of the terms in every row."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for ends, (rows, starts, paths) in zip(self.ends, self.walk(lists)):
+            terms = ends[paths]
+            listed = terms >= 0
+            found.append((rows[starts[listed]], terms[listed]))
+        rows, terms = (np.concatenate(part) for part in zip(*found))
+        pairs, counts = np.unique(rows * self.size + terms, return_counts=True)
+        return *np.divmod(pairs, self.size), counts
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """(row, unit) of all elements."""
+    sizes = np.diff(lists.offsets.to_numpy()) * (lists.is_valid().to_numpy(zero_copy_only=False))
+    return np.repeat(np.arange(len(sizes)), sizes), lists.flatten().dictionary_encode()
+
+
 def portions(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` list elements."""
     for batch in batches:
@@ -147,10 +200,13 @@ TOKENS = "_tokens"
 
 def term_stats(texts: DataFrame, text_col: str, analyzer: Analyzer) -> DataFrame:
     """``(term, df, total)``; the empty term counts the texts.  Partial sums of whole batches are all that is shuffled."""
+    return _summed(texts, text_col, analyzer, analyzer.counted)
+
 
+def _summed(texts: DataFrame, text_col: str, analyzer: Analyzer, count: Callable[[pa.ListArray], Counts]) -> DataFrame:
     def partial(batches):
         for batch in portions(batches, TOKENS, analyzer.batch_tokens):
-            found = analyzer.counted(batch[TOKENS])
+            found = count(batch[TOKENS])
             n = len(found.names)
             terms = pa.concat_arrays([found.names.cast(pa.string()), pa.array([""])])
             df = np.append(np.bincount(found.terms, minlength=n), batch.num_rows)
@@ -162,6 +218,71 @@ def term_stats(texts: DataFrame, text_col: str, analyzer: Analyzer) -> DataFrame
     return sums.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
+def longer_stats(texts: DataFrame, text_col: str, analyzer: Analyzer, shorter: pa.Array) -> DataFrame:
+    """:func:`term_stats` of the word n-grams whose first and last n - 1 words are both among ``shorter``, all of n - 1 words."""
+    shared = texts.sparkSession.sparkContext.broadcast(shorter)
+    made: list[Phrases] = []
+
+    def count(lists: pa.ListArray) -> Counts:
+        if not made:
+            made.append(Phrases(shared.value))
+        for rows, starts, paths in made[0].walk(lists):
+            pass
+        ends, width = made[0].ends[-1], len(shared.value)
+        at = np.full(len(rows) + 1, -1, np.int64)
+        at[starts] = ends[paths]
+        n = len(made[0].ends) + 1
+        starts = starts[(at[starts] >= 0) & (at[starts + 1] >= 0)]  # the second one ends n - 1 tokens on
+        starts = starts[rows[starts] == rows[starts + n - 1]]
+        pairs, terms = np.unique(at[starts] * width + at[starts + 1], return_inverse=True)
+        heads, tails = (shared.value.take(pa.array(part)) for part in np.divmod(pairs, width))
+        tails = pc.replace_substring_regex(tails, "^.* ", "")
+        return Counts.of(len(lists), rows[starts], terms, None, pc.binary_join_element_wise(heads, tails, " "))
+
+    return _summed(texts, text_col, analyzer, count)
+
+
+def frequent_stats(texts: DataFrame, text_col: str, analyzer: Analyzer, min_df: float, max_df: float, size: int) -> DataFrame | None:
+    """The rows of :func:`term_stats` that can be among the ``size`` most frequent terms, and the number of texts.
+
+    No n-gram is found oftener, nor in more texts, than a shorter one inside it.  So each
+    length is counted only where both parts of n - 1 words reach the total of the
+    ``size``-th term so far, and the sums of rare n-grams are never made.  None, if more
+    terms reach it than may be sent to the tasks.
+    """
+    spark, schema = texts.sparkSession, pa.schema([("term", pa.string()), ("df", pa.int64()), ("total", pa.int64())])
+    single = replace(analyzer, n_max=1)
+    words = term_stats(texts, text_col, single).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = words.filter("term = ''").agg(F.max("df")).first()[0] or 0
+        listed = words.filter((F.col("term") != "") & (F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+        least = listed.orderBy(F.col("total").desc()).limit(size).agg(F.count("*").alias("n"), F.min("total").alias("total")).first()
+        bound = least["total"] if least["n"] == size else 0
+        found, stats = [], words
+        for length in range(1, analyzer.n_max + 1):
+            if length > 1:
+                shorter = pa.concat_arrays(found[-1]["term"].chunks or [pa.array([], pa.string())])
+                if not len(shorter):
+                    break
+                stats = longer_stats(texts, text_col, single, shorter).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                reach = stats.filter((F.col("term") != "") & (F.col("df") >= min_df) & (F.col("total") >= bound))
+                if (reach.agg(F.sum(F.octet_length("term") + 24)).first()[0] or 0) > LOOKUP_BYTES:
+                    return None
+                found.append(reach.select("term", "df", "total").toArrow().cast(schema))
+            finally:
+                if length > 1:
+                    stats.unpersist()
+            whole = pa.concat_tables(found)
+            totals = whole["total"].to_numpy()[whole["df"].to_numpy() <= max_df * n]
+            if len(totals) >= size:
+                bound = max(bound, int(np.partition(totals, -size)[-size]))
+    finally:
+        words.unpersist()
+    texts_row = pa.table([pa.array([""]), pa.array([n], pa.int64()), pa.array([0], pa.int64())], schema=schema)
+    return spark.createDataFrame(pa.concat_tables([*found, texts_row]).combine_chunks())
+
+
 def numbered(terms: DataFrame, key: str, out: str) -> DataFrame:
     """Rank of every row by a unique key, from 0, as a written table.
 
@@ -196,6 +317,10 @@ class Vocabulary:
 
     @staticmethod
     def fit(texts: DataFrame, text_col: str, analyzer: Analyzer, min_df: float = 1, max_df: float = 1.0, size: int | None = None) -> "Vocabulary":
+        if size and analyzer.kind == "word" and analyzer.n_min == 1 < analyzer.n_max:
+            few = frequent_stats(texts, text_col, analyzer, min_df, max_df, size)
+            if few is not None:
+                return Vocabulary.of_stats(few, min_df, max_df, size)
         stats = term_stats(texts, text_col, analyzer)
         stats = stats.filter((F.col("df") >= min_df) | (F.col("term") == "")).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -278,14 +403,18 @@ def weighted(
 
     def look_up(batches):
         terms, idf = shared.value
+        phrases = Phrases(terms) if analyzer.kind == "word" else None
         for batch in portions(batches, TOKENS, analyzer.batch_tokens):
-            found = analyzer.counted(batch[TOKENS])
-            ids = pc.index_in(found.names, value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)[found.terms]
-            listed = np.flatnonzero(ids >= 0)
-            listed = listed[np.lexsort((ids[listed], found.rows[listed]))]
-            rows, ids = found.rows[listed], ids[listed]
-            weights = _normal(rows, _weights(found.counts[listed], idf[ids], sublinear), found.size)
-            column = _listed(found.size, rows, ids, weights, size if vector else None, lambda: terms.take(pa.array(ids)))
+            if phrases is not None:
+                rows, ids, counts = phrases.counted(batch[TOKENS])
+            else:
+                found = analyzer.counted(batch[TOKENS])
+                ids = pc.index_in(found.names, value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)[found.terms]
+                listed = np.flatnonzero(ids >= 0)
+                listed = listed[np.lexsort((ids[listed], found.rows[listed]))]
+                rows, ids, counts = found.rows[listed], ids[listed], found.counts[listed]
+            weights = _normal(rows, _weights(counts, idf[ids], sublinear), batch.num_rows)
+            column = _listed(batch.num_rows, rows, ids, weights, size if vector else None, lambda: terms.take(pa.array(ids)))
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), column], [*names, vector or "_terms"])
 
     return tokens.mapInArrow(look_up, _with_listed(texts, vector))

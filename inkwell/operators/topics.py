@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from inkwell.operators.features import as_vector, pca, tfidf_stages
+from inkwell.operators.models import kept
 
 
 def cluster_vectors(df: DataFrame, vector_col: str, k: int = 2, restarts: int = 10, seed: int = 0, kind: str = "kmeans"):
@@ -74,11 +75,12 @@ def lda_topics(
     top_words: int = 10,
 ) -> tuple[DataFrame, DataFrame]:
     """``(assignments (key, topic, weight), words (topic, rank, term, weight))``."""
-    pipeline = Pipeline(
-        stages=tfidf_stages(text_col, "_tfidf", n_max=n_max, min_df=min_df, max_df=max_df, vocab_size=vocab_size, stop=stop)
-    ).fit(df)
-    weighted = pipeline.transform(df).select(key_col, "_tfidf")
-    model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="_tfidf").fit(weighted)
+    stages = tfidf_stages(text_col, "_tfidf", n_max=n_max, min_df=min_df, max_df=max_df, vocab_size=vocab_size, stop=stop)
+    with kept(df.select(key_col, text_col)) as texts:  # read once for each length of n-grams
+        pipeline = Pipeline(stages=stages).fit(texts)
+        weighted = pipeline.transform(texts).select(key_col, "_tfidf")
+        with kept(weighted) as rows:  # every round of the model draws from all rows
+            model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="_tfidf").fit(rows)
     mix = vector_to_array("topicDistribution")
     assigned = model.transform(weighted).select(
         key_col, (F.array_position(mix, F.array_max(mix)) - 1).cast("int").alias("topic"), F.array_max(mix).alias("weight")

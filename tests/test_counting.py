@@ -189,3 +189,30 @@ def test_directions_in_feature_blocks(monkeypatch, spark):
     want, got = plain(whole), plain(blocks)
     assert got.keys() == want.keys() == set(range(120))
     assert all(np.allclose(got[i][0], want[i][0], atol=1e-3) and np.array_equal(got[i][1], x[i]) for i in got)
+
+
+@pytest.mark.parametrize("size, limits", [(1, (1, 1.0)), (25, (2, 0.3)), (10_000, (2, 0.98))], ids=repr)
+def test_most_frequent_ngrams_by_length(monkeypatch, spark, size, limits):
+    """The terms kept are those of a whole count, and n-grams with a rare part are not counted."""
+    rnd = np.random.default_rng(5)
+    words = ["aa", "bb", "cc", "dd", "ee", *(f"rare{i}" for i in range(200))]
+    p = np.array([20, 12, 9, 5, 4, *[0.25] * 200])
+    rows = [" ".join(rnd.choice(words, 1 + i % 12, p=p / p.sum())) for i in range(300)] + [None, "", "the aa"]
+    df = spark.createDataFrame(list(enumerate(rows)), "key int, text string").repartition(3)
+    analyzer, (min_df, max_df) = Analyzer(n_max=4, stop=("the",)), limits
+    counted = [grams(text, analyzer) for text in rows]
+    total, docs = sum(counted, collections.Counter()), collections.Counter(t for own in counted for t in own)
+    allowed = sorted((t for t in total if min_df <= docs[t] <= max_df * len(rows)), key=lambda t: (-total[t], t))[:size]
+    made = []
+    whole = ct.term_stats
+    monkeypatch.setattr(ct, "term_stats", lambda df, col, a: made.append(a.n_max) or whole(df, col, a))
+    found = ct.Vocabulary.fit(df, "text", analyzer, min_df, max_df, size)
+    want = {t: math.log((1 + len(rows)) / (1 + docs[t])) + 1 for t in allowed}
+    got = dict(zip(found.held()["term"].to_pylist(), found.held()["idf"].to_pylist()))
+    assert got == pytest.approx(want) and made == [1]
+    few = {r["term"] for r in ct.frequent_stats(df, "text", analyzer, min_df, max_df, size).collect()}
+    assert size > 25 or len(few) < len(total) / 4
+    monkeypatch.setattr(ct, "LOOKUP_BYTES", 60)  # too many terms to be sent: all are counted
+    assert ct.frequent_stats(df, "text", analyzer, 1, 1.0, 10_000) is None
+    terms = lambda v: {r["term"] for r in v.table.select("term").collect()}
+    assert terms(ct.Vocabulary.fit(df, "text", analyzer, min_df, max_df, size)) == set(allowed)
