@@ -70,6 +70,24 @@ def test_stack_and_calibrate(planted):
     assert row["hit"] > 0.8 and 0 <= row["lo"] <= row["hi"] <= 1
 
 
+def test_nested_calibration_fits_one_model_at_a_time(planted):
+    """The folds around it run side by side already; each fit holds its history of gradients on the driver."""
+    features = Pipeline(stages=word_view()).fit(planted).transform(planted).select("key", "label", "features", "fold_0").cache()
+    running, most = [], []
+
+    class Watched:
+        def fit(self, df):
+            running.append(1)
+            most.append(len(running))
+            try:
+                return md.linear_svm(1.0, 3).fit(df)
+            finally:
+                running.pop()
+
+    md.calibrate_scores(features, features.select("key", "label", "features"), Watched(), "fold_0", 2, outer="other=0")
+    assert most == [1, 1]
+
+
 def test_searches(planted):
     folds = md.disjoint_folds(planted, ["fold_0"], 2)
     configs = md.draw_configs(md.grid(size=[5, 50], c=[0.1, 1.0]), 2, 3)
