@@ -1,17 +1,18 @@
 """Headline text expressions: cleaning, tokens, style markers.
 
 Everything here is ``Column -> Column`` on built-in functions.  The only Python
-is :func:`_unescape_nfkc`, and it sees nothing but the rows that hold ``&`` or a
-non-ASCII character.
+is :func:`_unescape_nfkc` and :func:`_both_views`, and they see nothing but the rows that
+hold ``&`` or a non-ASCII character.
 """
 
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 # Character sets and patterns that define the feature semantics.
@@ -38,11 +39,41 @@ UPPER_AFTER_LETTER = r"[\p{Lu}\p{Ll}]\p{Lu}"
 LOWER_AFTER_OTHER = r"(^|[^\p{Lu}\p{Ll}])\p{Ll}"
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(
-        lambda t: None if t is None else unicodedata.normalize("NFKC", html.unescape(t))
-    )
+#: Texts that are Python strings at once; the rest of a batch stays in Arrow.
+DECODED_TEXTS = 64
+#: ``GAP`` for Python: the white space of Unicode and \x1c-\x1f.
+PYTHON_GAP = re.compile("[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+VIEWS = T.StructType([T.StructField("text", T.StringType()), T.StructField("again", T.StringType())])
+
+
+def _decoded(text: str) -> str:
+    return unicodedata.normalize("NFKC", html.unescape(text))
+
+
+def _in_portions(texts: pa.Array, value: Callable, kind: pa.DataType) -> pa.Array:
+    """``value`` of every text that is not null, a few texts at a time."""
+    parts = [pa.array([], kind)]
+    for at in range(0, len(texts), DECODED_TEXTS):
+        own = texts.slice(at, DECODED_TEXTS).to_pylist()
+        parts.append(pa.array([None if t is None else value(t) for t in own], kind))
+    return pa.concat_arrays(parts)
+
+
+@F.arrow_udf(T.StringType())
+def _unescape_nfkc(texts: pa.Array) -> pa.Array:
+    return _in_portions(texts, _decoded, pa.string())
+
+
+@F.arrow_udf(VIEWS)
+def _both_views(texts: pa.Array) -> pa.Array:
+    """The text decoded and squeezed, and that decoded once more where it changes by that."""
+
+    def views(text: str) -> dict[str, str | None]:
+        once = PYTHON_GAP.sub(" ", _decoded(text)).strip(" ")
+        again = _decoded(once)
+        return {"text": once, "again": None if again == once else again}
+
+    return _in_portions(texts, views, pa.struct([("text", pa.string()), ("again", pa.string())]))
 
 
 def strip(text: Column) -> Column:
@@ -59,32 +90,45 @@ def is_missing(value: Column) -> Column:
     return value.isNull() | (strip(value.cast("string")) == "")
 
 
+def _undecoded(text: Column) -> Column:
+    """The text where decoding can change it, else NULL."""
+    return F.when(text.contains("&") | text.rlike(r"[^\x00-\x7F]"), text)
+
+
 def unescape(text: Column) -> Column:
     """HTML entities decoded and NFKC applied; NULL becomes ''."""
-    needs = text.contains("&") | text.rlike(r"[^\x00-\x7F]")
-    return F.coalesce(_unescape_nfkc(F.when(needs, text)), text, F.lit(""))
+    return F.coalesce(_unescape_nfkc(_undecoded(text)), text, F.lit(""))
 
 
 def normalize_raw(text: Column) -> Column:
     return squeeze(unescape(text))
 
 
-def _cleaner(keep: str | None) -> Callable[[Column], Column]:
-    def clean(text: Column) -> Column:
-        lowered = F.lower(unescape(text))
-        if keep is not None:
-            lowered = F.regexp_replace(lowered, rf"(?U){URL_TEXT}", " ")
-            lowered = F.regexp_replace(lowered, rf"(?U)[^{keep}{SPACE}]", " ")
-        return squeeze(lowered)
+def _cleaned(decoded: Column, keep: str | None) -> Column:
+    lowered = F.lower(decoded)
+    if keep is not None:
+        lowered = F.regexp_replace(lowered, rf"(?U){URL_TEXT}", " ")
+        lowered = F.regexp_replace(lowered, rf"(?U)[^{keep}{SPACE}]", " ")
+    return squeeze(lowered)
 
-    return clean
+
+def _cleaner(keep: str | None) -> Callable[[Column], Column]:
+    return lambda text: _cleaned(unescape(text), keep)
 
 
-clean_strict = _cleaner("a-z0-9")
+STRICT = "a-z0-9"
+clean_strict = _cleaner(STRICT)
 clean_light = _cleaner(r"a-z0-9\-'!?")
 clean_lower = _cleaner(None)
 
 
+def raw_and_clean(text: Column) -> tuple[Column, Column]:
+    """``normalize_raw(text)`` and ``clean_strict`` of that, with one pass through Python for both."""
+    both = _both_views(_undecoded(text))
+    raw = F.coalesce(both["text"], squeeze(F.coalesce(text, F.lit(""))))
+    return raw, _cleaned(F.coalesce(both["again"], raw), STRICT)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 

@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from pyspark.storagelevel import StorageLevel
@@ -25,7 +24,7 @@ from inkwell.session import scratch_path, written
 # Token pattern, a run of two or more word characters.
 TOKEN = r"([\p{L}\p{N}_]{2,})"
 #: Tokens, or n-grams cut from them, that are counted at once; a single longer text is counted alone.
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 18
 #: N-grams of one length that a word gives to a character analyzer, about.
 WORD_GRAMS = 6
 #: A vocabulary of at most so many bytes of terms is sent to the tasks; a larger one is joined.
@@ -424,6 +423,8 @@ LISTED = "array<struct<id: int, term: string, weight: double>>"
 
 
 def _with_listed(texts: DataFrame, vector: str | None) -> T.StructType:
+    from pyspark.ml.linalg import VectorUDT  # brings pandas along, which the tasks' workers do without
+
     own = T.StructField(vector, VectorUDT()) if vector else T.StructField("_terms", T._parse_datatype_string(LISTED))
     return T.StructType([*texts.schema.fields, own])
 
@@ -447,7 +448,7 @@ def _by_join(
 
     def count(batches):
         task, place = TaskContext.get().partitionId(), 0
-        for batch in portions(batches, TOKENS, max(1, analyzer.batch_tokens // 4)):
+        for batch in portions(batches, TOKENS, analyzer.batch_tokens):
             found = analyzer.counted(batch[TOKENS])
             n, number = len(found.names), (task << 32) + place
             order = np.argsort(found.terms, kind="stable")

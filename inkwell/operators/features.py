@@ -17,7 +17,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultP
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.storagelevel import StorageLevel
 
-from inkwell.functions.text import clean_strict, normalize_raw, stem, style_features_16, with_features
+from inkwell.functions.text import raw_and_clean, stem, style_features_16, with_features
 from inkwell.operators.counting import Analyzer, Vocabulary, weighted
 from inkwell.session import written
 
@@ -225,9 +225,8 @@ class LinearProjection(TableModel):
 
 def text_views(df: DataFrame, text_col: str) -> DataFrame:
     """Adds ``text`` (cased) and ``text_clean`` (lowercase alphanumerics)."""
-    return df.withColumn("text", normalize_raw(F.col(text_col))).withColumn(
-        "text_clean", clean_strict(F.col("text"))
-    )
+    raw, clean = raw_and_clean(F.col(text_col))
+    return df.withColumns({"text": raw, "text_clean": clean})
 
 
 def tfidf_stages(

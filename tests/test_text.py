@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as tx
+from inkwell.operators.features import text_views
 from inkwell.operators.terms import char_wb_ngrams, word_ngrams
 
 
@@ -91,3 +92,17 @@ def test_ngrams(spark):
         " a ", " xy", "xyz", "yzz", "zzy", "zy ", " xyz", "xyzz", "yzzy", "zzy ", " xyzz", "xyzzy", "yzzy ",
     ]
     assert one(spark, "", lambda t: word_ngrams(t, 1, 2)) == []
+
+
+def test_both_views_take_one_pass_through_python(spark):
+    spaces = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() or c in (0x180E, 0x200B, 0xFEFF))
+    texts = [
+        None, "", "  plain  Text\t\n", "A&nbsp;b &amp;amp;lt; c", "&amp;amp;amp;", "ﬁne&#10;&#x1c;day x", "É ß &copy www.a.b/&amp;x https://c.d?e=1 &lt",
+        f"a{'b'.join(spaces)}&amp;{spaces}", "&am\rp; &#38; amp;", *[f"&amp;{i} é" for i in range(200)],
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(1)
+    views = text_views(df, "t")
+    raw = tx.normalize_raw(F.col("t"))
+    want = df.withColumn("text", raw).withColumn("text_clean", tx.clean_strict(F.col("text")))
+    assert sorted(views.collect()) == sorted(want.collect())
+    assert views._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
