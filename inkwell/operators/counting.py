@@ -403,7 +403,8 @@ def weighted(
     def look_up(batches):
         terms, idf = shared.value
         phrases = Phrases(terms) if analyzer.kind == "word" else None
-        for batch in portions(batches, TOKENS, analyzer.batch_tokens):
+        most = max(analyzer.batch_tokens, min(len(terms), 4 * analyzer.batch_tokens))  # a portion hashes all terms
+        for batch in portions(batches, TOKENS, most):
             if phrases is not None:
                 rows, ids, counts = phrases.counted(batch[TOKENS])
             else:
