@@ -3,6 +3,9 @@
 import collections
 import math
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -216,3 +219,8 @@ def test_most_frequent_ngrams_by_length(monkeypatch, spark, size, limits):
     assert ct.frequent_stats(df, "text", analyzer, 1, 1.0, 10_000) is None
     terms = lambda v: {r["term"] for r in v.table.select("term").collect()}
     assert terms(ct.Vocabulary.fit(df, "text", analyzer, min_df, max_df, size)) == set(allowed)
+
+
+def test_workers_that_count_load_no_pandas():
+    code = "import sys, inkwell.operators.counting; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], timeout=120).returncode == 0
