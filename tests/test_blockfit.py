@@ -41,13 +41,13 @@ def test_blocks_give_the_model_of_mllib(monkeypatch, sparse, make, rounds):
 
 
 def test_driver_sees_no_gradient(monkeypatch, spark):
-    """Results of a job are inner products, a small part of a gradient of 600,000 features."""
-    size, seen = 600_000, []
+    """Results of a job are inner products, a small part of a gradient of 700,000 features."""
+    size, seen = 700_000, []
     rows = [(Vectors.sparse(size, [i, size // 2 + i, size - 1], [1.0, 0.5, 1.0]), float(i % 2)) for i in range(50)]
     df = spark.createDataFrame(rows, ["features", "label"])
     trial = blockfit._Trial
     monkeypatch.setattr(blockfit, "_Trial", lambda state, blocks, weight: seen.append(len(pickle.dumps(blocks))) or trial(state, blocks, weight))
-    model = md.linear_svm(1.0, 3).fit(df)
+    model = md.linear_svm(1.0, 7).fit(df)
     assert len(seen) > 3 and max(seen) < size * 8 // 100
     assert md.holdout_accuracy(model, df) == 1.0
 
