@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -142,3 +143,31 @@ def test_cluster_sweep_covers_all_dimensions(spark):
 
     swept = QUERIES["cluster_sweep"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(r["dims"] for r in swept) == [3, 5, 8, 10]
+
+
+def test_tree_ensembles_boost_all_rounds(monkeypatch, spark):
+    """Three hundred rounds as the survey lists them, with lineage cut by checkpoints."""
+    from inkwell.plans import QUERIES
+
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def boosted(*args, **params):
+        asked.append(make(*args, **params))
+        raise Asked
+
+    make = md.boosted_trees
+    monkeypatch.setattr(md, "boosted_trees", boosted)
+    monkeypatch.setattr(md, "random_forest", lambda trees, seed, **params: RandomForestClassifier(numTrees=1, seed=seed, **params))
+    with pytest.raises(Asked):
+        QUERIES["tree_ensembles"](spark, "/root/testdata/sf0.001")
+    assert asked[0].getMaxIter() == 300 and asked[0].getMaxDepth() == 4 and asked[0].getSubsamplingRate() == 0.8
+
+
+def test_boosting_gives_the_application_a_checkpoint_folder(monkeypatch, planted):
+    cut = []
+    monkeypatch.setattr(md, "lineage_cuts", cut.append)
+    train = Pipeline(stages=word_view()).fit(planted).transform(planted).select("label", "features")
+    assert md.holdout_accuracy(md.boosted_trees(3, 2).fit(train), train) > 0.75 and len(cut) == 1
