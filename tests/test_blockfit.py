@@ -68,3 +68,28 @@ def test_pipeline_fits_and_saves_in_blocks(monkeypatch, spark, sparse, tmp_path)
     assert [r["prediction"] for r in again.transform(sparse).orderBy("key").collect()] == [
         r["prediction"] for r in model.transform(sparse).orderBy("key").collect()
     ]
+
+
+@pytest.mark.parametrize("tasks", [0, 1 << 30], ids=["tiles", "one task"])
+@pytest.mark.parametrize("make", [lambda: md.linear_svm(2.0, 12, weightCol="weight"), lambda: md.logistic(0.5, 12, weightCol="weight")], ids=["svm", "logistic"])
+def test_one_task_and_tiles_give_the_model_of_mllib(monkeypatch, sparse, make, tasks):
+    want = make().fit(sparse)
+    for name, value in (("BLOCK", 7), ("RECORD", 64), ("PASS", 50), ("TASK_BYTES", tasks)):
+        monkeypatch.setattr(blockfit, name, value)
+    monkeypatch.setattr(md, "SENT_BYTES", 0)
+    got = make().fit(sparse)
+    assert np.allclose(got.coefficients.toArray(), want.coefficients.toArray(), rtol=1e-5, atol=1e-6)
+    assert got.intercept == pytest.approx(want.intercept, abs=1e-5)
+
+
+def test_a_small_fit_is_few_jobs(monkeypatch, sparse):
+    """Before, every evaluation was a job of three stages."""
+    monkeypatch.setattr(md, "SENT_BYTES", 0)
+    context = sparse.sparkSession.sparkContext
+    sparse.count()
+    context.setJobGroup("one-task", "fit")
+    try:
+        md.logistic(1.0, 30).fit(sparse)
+        assert len(context.statusTracker().getJobIdsForGroup("one-task")) <= 4
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
