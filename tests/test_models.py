@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
@@ -171,3 +173,17 @@ def test_boosting_gives_the_application_a_checkpoint_folder(monkeypatch, planted
     monkeypatch.setattr(md, "lineage_cuts", cut.append)
     train = Pipeline(stages=word_view()).fit(planted).transform(planted).select("label", "features")
     assert md.holdout_accuracy(md.boosted_trees(3, 2).fit(train), train) > 0.75 and len(cut) == 1
+
+
+def test_variants_of_an_experiment_run_side_by_side(planted):
+    """A fit in one task leaves cores to the others; before, one variant ran after another."""
+    together = threading.Barrier(2, timeout=60)
+
+    class Watched:
+        def fit(self, df):
+            together.wait()
+            return Pipeline(stages=[*word_view(), md.naive_bayes("multinomial")]).fit(df)
+
+    train, test = planted.filter("fold_0 = 0"), planted.filter("fold_0 = 1")
+    runs = md.experiment({name: (train, test, Watched()) for name in ("one", "two")}).collect()
+    assert [r["model"] for r in runs] == ["one", "two"] and all(r["accuracy"] > 0.75 for r in runs)
