@@ -224,3 +224,19 @@ def test_most_frequent_ngrams_by_length(monkeypatch, spark, size, limits):
 def test_workers_that_count_load_no_pandas():
     code = "import sys, inkwell.operators.counting; sys.exit('pandas' in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], timeout=120).returncode == 0
+
+
+def test_directions_a_few_columns_at_a_time(monkeypatch, spark):
+    """A round shuffles some columns of the matrix at once, and gives what it gives with all of them."""
+    rnd = np.random.default_rng(4)
+    x = (rnd.standard_normal((60, 5)) * [9, 7, 5, 3, 2]) @ rnd.standard_normal((5, 50))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "key int, a array<double>").select("key", array_to_vector("a").alias("v")).repartition(3)
+    for name, limit in (("MATRIX_BYTES", 0), ("FEATURE_BLOCK", 16), ("ROW_BLOCK", 500), ("RECORD", 200), ("SLICE", 4)):
+        monkeypatch.setattr(ft, name, limit)
+    widths, met = [], ft._RowBlocks._met
+    monkeypatch.setattr(ft._RowBlocks, "_met", lambda self, parts, turn, *rest: widths.append(turn.shape[1]) or met(self, parts, turn, *rest))
+    model, values = ft.svd_projection(df, "v", 3, "low")
+    assert max(widths) == 4 and len(widths) > 6 and np.allclose(values, np.linalg.svd(x)[1][:3], rtol=1e-6)
+    low = {r["key"]: r["low"].toArray() for r in model.transform(df).collect()}
+    want = x @ np.linalg.svd(x)[2][:3].T
+    assert all(np.allclose(np.abs(low[i]), np.abs(want[i]), atol=1e-3) for i in range(60))
